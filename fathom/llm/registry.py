@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from fathom.llm import quality_rules
+from fathom.llm import mixing, packing, quality_rules
 
-QUERIES = {"op2_quality_rules": quality_rules.op2_quality_rules}
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
+}
 SQL = {"op2_quality_rules": quality_rules.OP2_SQL}
 
 
