@@ -12,7 +12,10 @@ for itself; an empty table gives no pieces; other columns of the input are ignor
 
 from __future__ import annotations
 
+import array
 import heapq
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,34 +30,75 @@ LIMIT = 4096
 END_ID = 2
 #: Pieces of one length that are numbered together.
 CHUNK_ROWS = 100_000
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps, some 200 bytes each.
+CACHED_WORDS = 1_200_000
 
-_open: dict[str, _Ids] = {}
+#: Fixed value: the split pattern of tokenizers whose words can be encoded one by one.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_open: dict[str, _Ids | None] = {}
+_whole: dict = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the rest for 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class _Ids(dict):
-    """Word -> its ids as little-endian 32-bit bytes. Valid as the tokenizer drops white space and never joins across it."""
+    """Word -> its ids as little-endian 32-bit bytes, for tokenizers that lower-case, drop white space and never join across it.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Most time goes into words not met before. A comma or full stop after a letter, which such a
+    tokenizer always splits off, is looked up apart; words of letters only, which it leaves whole, go
+    straight to its BPE model.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            text = word.decode()
+            plain = text.isalpha() and text == text.lower() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text)
+            if plain:
+                found = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))]
+            else:
+                found = self.encode(text, add_special_tokens=False).ids
+            ids = array.array("I", found).tobytes()
         self[word] = ids
         return ids
 
 
+def _load(path: str) -> _Ids | None:
+    """The word table for a tokenizer file, or nothing where its kind is another; ``_whole`` then serves."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    kind = json.loads(tokenizer.to_str())
+    steps = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
+    splits = [p["pattern"].get("Regex") for p in (kind["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+    _whole[path] = tokenizer.encode
+    return _Ids(tokenizer) if steps == ["NFC", "Replace", "Lowercase"] and splits == [WORD_SPLIT] else None
+
+
 def encode(text: str | None, tokenizer_path: str) -> bytes:
     """A text's ids, 4 bytes each, without the end id."""
-    known = _open.get(tokenizer_path)
+    if tokenizer_path not in _open:
+        _open[tokenizer_path] = _load(tokenizer_path)
+    known = _open[tokenizer_path]
     if known is None:
-        known = _open[tokenizer_path] = _Ids(tokenizer_path)
-    return b"".join(map(known.__getitem__, (text or "").encode().split()))
+        return array.array("I", _whole[tokenizer_path](text or "", add_special_tokens=False).ids).tobytes()
+    raw = (text or "").encode()
+    # special tokens such as <|endoftext|> are the only words in which case matters
+    words = raw.lower().split() if b"<|" not in raw else [w if b"<|" in w else w.lower() for w in raw.split()]
+    return b"".join(map(known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
