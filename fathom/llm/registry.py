@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fathom.llm import mixing, packing, quality_rules
+from fathom.llm import minhash, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_minhash": minhash.op4_minhash,
     "op5_mixing": mixing.op5_mixing,
 }
 SQL = {"op2_quality_rules": quality_rules.OP2_SQL}
