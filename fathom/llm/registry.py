@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fathom.llm import minhash, mixing, packing, quality_rules
+from fathom.llm import minhash, mixing, packing, quality_rules, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_minhash": minhash.op4_minhash,
     "op5_mixing": mixing.op5_mixing,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
 }
 SQL = {"op2_quality_rules": quality_rules.OP2_SQL}
 
