@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fathom.llm import minhash, mixing, packing, quality_rules, substrings, warc
+from fathom.llm import minhash, mixing, packing, quality_rules, substrings, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_url_filters": urls.op3_url_filters,
     "op4_minhash": minhash.op4_minhash,
     "op5_mixing": mixing.op5_mixing,
     "op8_substring_dedup": substrings.op8_substring_dedup,
