@@ -4,8 +4,10 @@ Segment-partition edit join, in DataFrame expressions only. A line of n bytes is
 ``threshold + 1`` segments; a line within ``threshold`` edits of it must hold one of them unchanged,
 and only near its own place. So segments are indexed by (number, n, hash), and every line probes, for
 each length up to ``threshold`` below its own, the few substrings that can match (the places that leave
-enough edits to either side). What meets is verified by a banded bit-parallel automaton: a word of
-``2 * threshold + 1`` bits for each number of edits, a bit for each diagonal, one step for each byte.
+enough edits to either side). Rows that meet another line's go on, few in all; of those, pairs whose lengths
+and letter parities allow so few edits (an edit changes two of 64 parity bits at most) are verified by
+a banded bit-parallel automaton: a word of ``2 * threshold + 1`` bits for each number of edits, a bit
+for each diagonal, one step for each byte.
 
 Lines are compared without the white space around them, in UTF-8 bytes; those under ``min_bytes`` bytes
 (headings, list marks) are left alone, as they repeat by chance. Equal lines are first brought down to
@@ -31,17 +33,30 @@ THRESHOLD = 2
 MIN_BYTES = 40
 
 
-def _row(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """_doc, _rid (a hash of id and text, which tells apart rows that share an id) and the lines of the text."""
-    return docs.withColumn("_doc", F.col(id_column).cast("long")).withColumn("_rid", F.xxhash64(F.col(id_column), F.col(text_column))).withColumn("_lines", F.split(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "\n"))
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """All of ``docs`` under names of our own, with doc (the id), text and rid (a hash of both), stored in buckets of rid."""
+    own = [F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)]
+    doc, text = F.col(f"`{id_column}`").cast("long"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    return scratch.bucketed(docs.select(*own, doc.alias("doc"), text.alias("text"), F.xxhash64(doc, text).alias("rid")), "rid", "line-rows")
 
 
-def occurrences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """h, g (hashes of the line), doc, rid, pos and the line's bytes, for each line that is long enough."""
-    rows = _row(docs.select(id_column, text_column), id_column, text_column).select("_doc", "_rid", F.posexplode("_lines").alias("pos", "line"))
-    line = F.btrim(F.col("line"), F.lit(texts.SPACES)).cast("binary")
-    long_ = rows.select(F.col("_doc").alias("doc"), F.col("_rid").alias("rid"), "pos", line.alias("b")).where(F.octet_length("b") >= min_bytes)
-    return long_.select(F.xxhash64("b").alias("h"), F.xxhash64(F.lit(1), "b").alias("g"), "doc", "rid", "pos", "b")
+def _bytes(line: Column) -> Column:
+    return F.btrim(line, F.lit(texts.SPACES)).cast("binary")
+
+
+def occurrences(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """h and g (hashes of the line), doc, rid, pos for each line that is long enough."""
+    each = rows.select("doc", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "rid", "pos", _bytes(F.col("line")).alias("b"))
+    return each.where(F.octet_length("b") >= min_bytes).select(F.xxhash64("b").alias("h"), F.xxhash64(F.lit(1), "b").alias("g"), "doc", "rid", "pos")
+
+
+def _with_bytes(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``lines`` (h, g, first) with their bytes b, looked up at their first place."""
+    by_row = lines.groupBy(F.col("first.rid").alias("_r")).agg(F.collect_list(F.struct("h", "g", "first")).alias("_p"))
+    # the join is on rid alone, by which rows lie in buckets; ids are compared where they meet
+    met = rows.select("doc", "rid", "text").join(by_row, F.col("rid") == F.col("_r")).withColumn("places", F.filter("_p", lambda p: p["first"]["doc"].eqNullSafe(F.col("doc"))))
+    each = met.select(F.explode(texts.let(F.split("text", "\n"), lambda t: F.transform("places", lambda p: F.struct(p.alias("line"), F.get(t, p["first"]["pos"]).alias("t"))))).alias("x"))
+    return each.select("x.line.h", "x.line.g", "x.line.first", _bytes(F.col("x.t")).alias("b"))
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -51,8 +66,8 @@ def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return base * i + longer, base + (F.lit(i) >= F.lit(parts) - F.pmod(n, F.lit(parts))).cast("int")
 
 
-def _keys(threshold: int, probe: bool) -> Column:
-    """The index keys of a line ``b`` of ``n`` bytes, or the keys it probes."""
+def _keys(threshold: int, probe: bool) -> list[Column]:
+    """The index keys of a line ``b`` of ``n`` bytes, or what it probes: keys of lines as long, and of shorter ones."""
     out, parts = [], threshold + 1
     for less in range(threshold + 1) if probe else [0]:
         n = F.col("n") - less
@@ -62,15 +77,33 @@ def _keys(threshold: int, probe: bool) -> Column:
             low, high = (max(-i, less - (threshold - i)), min(i, less + (threshold - i))) if probe else (0, 0)
             for off in range(low, high + 1):
                 out.append(F.xxhash64(F.lit(i), n, F.substring(F.col("b"), start + off + 1, size)))
-    return F.array_distinct(F.array(*out))
+    return out
+
 
+def hits(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """key, h, probe of the index and probe rows that meet some other line's. ``lines``: distinct lines h, b.
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs x < y of line hashes that share a segment. ``lines``: distinct lines h, b."""
+    A semi-join of the rows with themselves, so both sides share one shuffle and no more rows come out than
+    went in, however many lines have a segment in common.
+    """
     sized = lines.select("h", "b", F.octet_length("b").alias("n"))
-    index = sized.select(F.col("h").alias("x"), F.explode(_keys(threshold, False)).alias("key"))
-    probe = sized.select(F.col("h").alias("y"), F.explode(_keys(threshold, True)).alias("key"))
-    return index.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    kinds = F.array(*[F.struct(F.lit(probe).alias("probe"), k.alias("key")) for probe in (False, True) for k in _keys(threshold, probe)])
+    rows = sized.select("h", F.inline(kinds))
+    return rows.alias("l").join(rows.alias("r"), F.expr("l.key = r.key AND l.h <> r.h AND l.probe <> r.probe"), "left_semi").select("key", "h", "probe")
+
+
+def parities(b: Column) -> Column:
+    """A bit for each byte value modulo 64: whether it occurs an odd number of times. An edit changes two bits at most."""
+    letters = F.split(F.decode(b, "ISO-8859-1"), "")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+
+
+def candidates(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs x < y of line hashes that share a segment and whose lengths and parities allow so few edits. ``found``: hits with n and parity."""
+    x = found.where("NOT probe").select("key", F.col("h").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    y = found.where("probe").select("key", F.col("h").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+    few = F.expr(f"ny - nx BETWEEN 0 AND {threshold} AND (ny > nx OR x < y) AND x <> y AND bit_count(px ^ py) <= {2 * threshold}")
+    return x.join(y, "key").where(few).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -107,77 +140,81 @@ def within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     return F.when(F.abs(gap) > threshold, F.lit(False)).otherwise(F.call_function("getbit", found, gap + threshold) == 1)
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs of distinct lines within the threshold: h, g, first and h2, g2, first2. ``lines``: stored h, g, first, b."""
-    pairs = scratch.table(candidates(lines, threshold), "line-pairs")
-    scratch.release(lines.sparkSession)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-    few = scratch.table(lines.join(wanted, "h", "left_semi"), "line-texts")
-    scratch.release(lines.sparkSession)
+def links(rows: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs of distinct lines within the threshold: h, g, first and h2, g2, first2. ``lines``: stored h, g, first."""
+    found = scratch.table(hits(_with_bytes(rows, lines), threshold), "line-hits")
+    scratch.release(rows.sparkSession)
+    few = scratch.table(_with_bytes(rows, lines.join(found.select("h").distinct(), "h", "left_semi")), "line-texts")
+    scratch.release(rows.sparkSession)
+    signed = few.select("h", F.octet_length("b").alias("n"), parities(F.col("b")).alias("parity"))
+    pairs = scratch.table(candidates(found.join(signed, "h"), threshold), "line-pairs")
     left = few.select(F.col("h").alias("x"), "g", "first", "b")
     right = few.select(F.col("h").alias("y"), F.col("g").alias("g2"), F.col("first").alias("first2"), F.col("b").alias("b2"))
-    near = F.abs(F.octet_length("b") - F.octet_length("b2")) <= threshold
-    met = pairs.join(left, "x").join(right, "y").where(near).repartition("x", "y")
+    met = pairs.join(left, "x").join(right, "y").repartition("x", "y")
     return met.where(within(F.col("b"), F.col("b2"), threshold)).select(F.col("x").alias("h"), "g", "first", F.col("y").alias("h2"), "g2", "first2")
 
 
-def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated(rows: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The lines that go: doc, rid, pos and whether the line itself came before (exact) or one like it."""
-    found = occurrences(docs, id_column, text_column, min_bytes)
-    first = found.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", "rid")).alias("first"), F.first("b").alias("b"))
-    lines = scratch.table(first, "distinct-lines")
-    scratch.release(docs.sparkSession)
-    joined = links(lines, threshold)
+    found = occurrences(rows, min_bytes)
+    lines = scratch.table(found.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", "rid")).alias("first")), "distinct-lines")
+    scratch.release(rows.sparkSession)
     before = F.col("first2") < F.col("first")
-    late = joined.select(F.when(before, F.col("h")).otherwise(F.col("h2")).alias("h"), F.when(before, F.col("g")).otherwise(F.col("g2")).alias("g"))
+    late = links(rows, lines, threshold).select(F.when(before, F.col("h")).otherwise(F.col("h2")).alias("h"), F.when(before, F.col("g")).otherwise(F.col("g2")).alias("g"))
     near = scratch.table(late.distinct(), "near-lines").withColumn("near", F.lit(True))
-    judged = scratch.table(lines.select("h", "g", "first").join(near, ["h", "g"], "left"), "first-lines")
-    scratch.release(docs.sparkSession)
+    judged = scratch.table(lines.join(near, ["h", "g"], "left"), "first-lines")
+    scratch.release(rows.sparkSession)
     same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
-    return found.drop("b").join(judged, ["h", "g"]).withColumn("exact", ~same).where("exact OR near").select("doc", "rid", "pos", "exact")
+    return found.join(judged, ["h", "g"]).withColumn("exact", ~same).where("exact OR near").select("doc", "rid", "pos", "exact")
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``docs`` with n_lines, n_compared, n_exact, n_near and what is left of the text as kept_text."""
+def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, min_bytes: int) -> DataFrame:
+    """The columns of ``docs`` as _in_0, _in_1 ..., doc, n_lines, n_compared, n_exact, n_near and kept_text."""
+    rows = _rows(docs, id_column, text_column)
+    scratch.release(docs.sparkSession)
     gone = (
-        repeated(docs, id_column, text_column, threshold, min_bytes).distinct().groupBy("rid", "doc")
-        .agg(F.collect_list("pos").alias("_gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"))
+        repeated(rows, threshold, min_bytes).distinct().groupBy(F.col("rid").alias("_r"))
+        .agg(F.collect_list(F.struct("doc", "pos", "exact")).alias("_all"))
     )
     gone = scratch.table(gone, "line-places")
     scratch.release(docs.sparkSession)
-    rows = _row(docs, id_column, text_column)
-    both = rows.join(gone, (F.col("_rid") == F.col("rid")) & F.col("_doc").eqNullSafe(F.col("doc")), "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.when(F.size("_gone") == 0, F.coalesce(F.col(text_column).cast("string"), F.lit(""))).otherwise(
-        F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    )
-    trimmed = F.transform("_lines", lambda x: F.octet_length(F.btrim(x, F.lit(texts.SPACES))))
-    return both.select(
-        *docs.columns,
-        texts.let(trimmed, lambda t: F.size(F.filter(t, lambda n: n > 0))).cast("long").alias("n_lines"),
-        texts.let(trimmed, lambda t: F.size(F.filter(t, lambda n: n >= min_bytes))).cast("long").alias("n_compared"),
-        F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+    both = rows.join(gone, F.col("rid") == F.col("_r"), "left").withColumn("_lines", F.split("text", "\n"))
+    both = both.withColumn("_own", F.filter("_all", lambda p: p["doc"].eqNullSafe(F.col("doc")))).withColumn("_gone", F.transform("_own", lambda p: p["pos"]))
+    exact = F.coalesce(F.size(F.filter("_own", lambda p: p["exact"])), F.lit(0))
+    kept = F.when(F.coalesce(F.size("_gone"), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n"))
+    sizes = F.transform("_lines", lambda x: F.octet_length(F.btrim(x, F.lit(texts.SPACES))))
+    return both.withColumn("_sizes", sizes).select(
+        *[c for c in rows.columns if c.startswith("_in_")],
+        "doc",
+        F.size(F.filter("_sizes", lambda n: n > 0)).cast("long").alias("n_lines"),
+        F.size(F.filter("_sizes", lambda n: n >= min_bytes)).cast("long").alias("n_compared"),
+        F.greatest(exact, F.lit(0)).cast("long").alias("n_exact"),
+        (F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)) - F.greatest(exact, F.lit(0))).cast("long").alias("n_near"),
         kept.alias("kept_text"),
     )
 
 
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """doc_id, n_lines, n_compared (long enough), n_exact, n_near (lines that go) and what is left of the text as kept_text."""
+    out = _judged(docs.select(id_column, text_column), id_column, text_column, threshold, min_bytes)
+    return out.select(F.col("doc").alias("doc_id"), "n_lines", "n_compared", "n_exact", "n_near", "kept_text")
+
+
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without repeated lines, same columns. A document all of whose compared lines went holds nothing of
     its own and goes as well."""
-    own = ["n_lines", "n_compared", "n_exact", "n_near", "kept_text"]
-    base = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)])
-    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    out = deduplicated(base, names[id_column], names[text_column]).where("n_compared = 0 OR n_exact + n_near < n_compared")
-    changed = out.withColumn(names[text_column], F.when(F.col("n_exact") + F.col("n_near") > 0, F.col("kept_text")).otherwise(F.col(names[text_column])))
-    if "n_chars" in names:
-        changed = changed.withColumn(names["n_chars"], F.when(F.col("n_exact") + F.col("n_near") > 0, F.length(names[text_column])).otherwise(F.col(names["n_chars"])).cast(docs.schema["n_chars"].dataType))
-    return changed.drop(*own).toDF(*docs.columns)
+    at = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    out = _judged(docs, id_column, text_column, THRESHOLD, MIN_BYTES).where("n_compared = 0 OR n_exact + n_near < n_compared")
+    cut = F.col("n_exact") + F.col("n_near") > 0
+    changed = {at[text_column]: F.when(cut, F.col("kept_text")).otherwise(F.col(at[text_column]))}
+    if "n_chars" in at:
+        changed[at["n_chars"]] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"]))
+    return out.withColumns(changed).select(*at.values()).toDF(*docs.columns)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """What every document loses, and a digest of what is left."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = deduplicated(docs)
+    out = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_compared", "n_exact", "n_near", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

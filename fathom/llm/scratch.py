@@ -35,6 +35,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Write ``df`` once, dealt and bucketed by ``column``: later joins on it read it where it lies instead of shuffling it."""
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entry = f"fathom_{uuid.uuid4().hex[:16]}"
+    df.repartition(buckets, column).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # the entry in the catalog only; the files stay
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps, which otherwise wait for the driver's next collection."""
     gc.collect()
