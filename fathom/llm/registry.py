@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import embeddings, lines, minhash, mixing, packing, quality_rules, substrings, urls, warc
+from fathom.llm import embeddings, lines, minhash, mixing, packing, pii, quality_rules, substrings, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
     "op4_minhash": minhash.op4_minhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_pii": pii.op6_pii,
     "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op6_pii": pii.op6_pii,
     "op7_embedding_dedup": embeddings.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }
