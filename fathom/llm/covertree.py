@@ -1,6 +1,6 @@
 """Cover trees over unit vectors and their dual traversal, in numpy.
 
-A tree's levels are nested nets with halving radii 1, 1/2, 1/4 ...: every vector lies within the radius of
+A tree's levels are nested nets with halving radii 1/2, 1/4, 1/8 ...: every vector lies within the radius of
 its node's centre, a node's centre is also the centre of one of its children, and rows are ordered so that
 every node is a run of rows. Two trees (or one with itself) are walked together from the top: a pair of
 nodes goes out where the distance of the centres, less both covering radii, is above the limit; where even
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-RADII = tuple(0.5**i for i in range(6))
+RADII = tuple(0.5**i for i in range(1, 7))
 #: Rows of a block of cosines, and pairs that are looked at together further down.
 BLOCK, PAIRS = 512, 100_000
 #: What rounding may do to a distance. Pairs this close to a bound are looked at further.
@@ -139,16 +139,21 @@ def linked(left: Tree, right: Tree, cosine: float) -> Iterator[tuple[np.ndarray,
             if level + 1 < last:
                 yield from descend(level + 1, a2, b2)
 
+    rough = max(1e-4, 2e-7 * left.x.shape[1])
     (_, _, ca, ra), (_, _, cb, rb) = left.levels[0], right.levels[0]
     for wide_a in (False, True):
         for wide_b in (False, True):
             # nodes that are one vector need one bound only
             rows_a, rows_b = np.flatnonzero((ra > 0) == wide_a), np.flatnonzero((rb > 0) == wide_b)
-            side_b = right.x[cb[rows_b]].T
+            side_b = np.ascontiguousarray(right.x[cb[rows_b]].T, np.float32)
             for at in range(0, len(rows_a), BLOCK):
                 own = rows_a[at : at + BLOCK]
                 reach = limit + SLACK + (ra[own][:, None] + rb[rows_b] if wide_a or wide_b else 0.0)
-                a, b = np.nonzero(left.x[ca[own]] @ side_b >= 1.0 - reach * reach / 2.0)
+                # single precision sifts, with room for its rounding; what is left is decided in double precision
+                near = left.x[ca[own]].astype(np.float32) @ side_b >= (1.0 - reach * reach / 2.0 - rough)
+                some = np.flatnonzero(near.any(axis=1))
+                a, b = np.nonzero(near[some])
+                a = some[a]
                 a, b = own[a], rows_b[b]
                 if same:
                     keep = a <= b
