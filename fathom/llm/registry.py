@@ -18,7 +18,6 @@ QUERIES = {
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
-    "op6_pii": pii.op6_pii,
     "op7_embedding_dedup": embeddings.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }
