@@ -56,14 +56,15 @@ def _covered(grams: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row a document with what the rules look at."""
+def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a document with what the rules look at, after the columns ``carry``."""
     text = F.coalesce(F.col("t"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(texts.WORD))
     return (
-        docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t"))
-        .select("doc_id", "t", texts.words(F.col("t")).alias("w"), lines.alias("lines"))
+        docs.select(F.struct(*carry, F.lit(0)).alias("carried"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("t"))
+        .select("carried", "doc_id", "t", texts.words(F.col("t")).alias("w"), lines.alias("lines"))
         .select(
+            *["carried"] * bool(carry),
             "doc_id",
             F.size("w").cast("long").alias("n_words"),
             F.length(F.translate(text, texts.SPACES, "")).cast("long").alias("word_chars"),
@@ -104,10 +105,10 @@ def mask(policy: str) -> int:
     return sum(BIT[r] for r in POLICIES[policy])
 
 
-def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """Measures and ``failed_bits`` for each document."""
     bits = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()), F.lit(0))
-    return measures(docs, id_column, text_column).withColumn("failed_bits", bits.cast("long"))
+    return measures(docs, id_column, text_column, carry).withColumn("failed_bits", bits.cast("long"))
 
 
 def apply_policy(book: DataFrame, policy: str = CURRENT, column: str = "kept") -> DataFrame:
@@ -115,6 +116,13 @@ def apply_policy(book: DataFrame, policy: str = CURRENT, column: str = "kept") -
     return book.withColumn(column, F.col("failed_bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def kept_documents(docs: DataFrame, policy: str = CURRENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` that a policy keeps, same columns. No join: what the rules measure travels with the row."""
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    judged = ledger(docs, id_column, text_column, tuple(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
+    return judged.where(F.col("failed_bits").bitwiseAND(F.lit(mask(policy))) == 0).select(*[f"carried.{n}" for n in names]).toDF(*docs.columns)
+
+
 def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     """What each rule of a policy does: how many fail it, and how many only this rule rejects.
 
