@@ -1 +1 @@
-
+"""Column expressions: periods, calendar features, array helpers, losses, metrics."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from fathom.plans.queries import QUERIES
+from fathom.plans.sql import SQL
 
 
 def queries() -> dict:
