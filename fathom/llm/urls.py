@@ -87,7 +87,7 @@ def score(urls: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     labelled = urls.where("verdict IS NOT NULL").withColumn("label", (F.col("verdict") == "block").cast("double"))
     n, positive = labelled.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < positive < n:
-        return urls.withColumn("blocked", F.lit(0.0))
+        return urls.withColumns({c: F.lit(0.0) for c in ("blocked", "suffix_rate", "host_suffix_rate")})
     rated = urls
     for column in ("suffix", "host_suffix"):
         rates = suffix_rates(labelled, column, positive / n)
