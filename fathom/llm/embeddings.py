@@ -93,7 +93,7 @@ def leaves(reps: DataFrame, sample_size: int = SAMPLE, max_leaves: int = MAX_LEA
 
 
 def trees(placed: DataFrame, known: dict[int, tuple[int, float]]) -> DataFrame:
-    """Rows with leaf, tile and their path in the tile's cover tree."""
+    """Rows with leaf, tile, their path in the tile's cover tree and their place in the tile, by which paths name nodes."""
     spark = placed.sparkSession
     tiles = spark.createDataFrame([(leaf, t) for leaf, (t, _) in known.items()], "leaf long, tiles long")
     dealt = placed.join(tiles, "leaf").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
@@ -104,9 +104,10 @@ def trees(placed: DataFrame, known: dict[int, tuple[int, float]]) -> DataFrame:
             x, _ = _matrix(group.column(4))
             path = covertree.paths(covertree.unit(x.reshape(group.num_rows, -1)))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(path.ravel()), path.shape[1]).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*group.columns, flat], [*group.schema.names, "path"])
+            place = pa.array(np.arange(group.num_rows, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*group.columns, flat, place], [*group.schema.names, "path", "place"])
 
-    return rows.mapInArrow(build, f"leaf long, tile long, rep long, w long, emb {placed.schema['emb'].dataType.simpleString()}, path array<int>")
+    return rows.mapInArrow(build, f"leaf long, tile long, rep long, w long, emb {placed.schema['emb'].dataType.simpleString()}, path array<int>, place int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
@@ -151,8 +152,8 @@ def compared(built: DataFrame, centres: np.ndarray, known: dict[int, tuple[int,
     own, other = F.struct("leaf", "tile"), F.struct(F.col("other").alias("leaf"), F.col("other_tile").alias("tile"))
     first, second = F.least(own, other), F.greatest(own, other)
     keyed = dealt.select(
-        first["leaf"].alias("i"), first["tile"].alias("s"), second["leaf"].alias("j"), second["tile"].alias("t"), (own > other).cast("int").alias("side"), "rep", "w", "emb", "path",
-    ).repartition("i", "s", "j", "t").sortWithinPartitions("i", "s", "j", "t", "side")
+        first["leaf"].alias("i"), first["tile"].alias("s"), second["leaf"].alias("j"), second["tile"].alias("t"), (own > other).cast("int").alias("side"), "rep", "w", "emb", "path", "place",
+    ).repartition("i", "s", "j", "t").sortWithinPartitions("i", "s", "j", "t", "side", "place")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 4):
