@@ -201,10 +201,10 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without repeated lines, same columns. A document all of whose compared lines went holds nothing of
-    its own and goes as well."""
+    """``docs`` without repeated lines, same columns. A document that had lines with a word and has none left holds
+    nothing of its own and goes as well; one that keeps any, however short, stays with those."""
     at = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    out = _judged(docs, id_column, text_column, THRESHOLD, MIN_BYTES).where("n_compared = 0 OR n_exact + n_near < n_compared")
+    out = _judged(docs, id_column, text_column, THRESHOLD, MIN_BYTES).where("n_lines = 0 OR n_exact + n_near < n_lines")
     cut = F.col("n_exact") + F.col("n_near") > 0
     changed = {at[text_column]: F.when(cut, F.col("kept_text")).otherwise(F.col(at[text_column]))}
     if "n_chars" in at:

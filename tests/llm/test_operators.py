@@ -132,6 +132,13 @@ def test_line_dedup_keeps_both_of_a_repeated_row(spark):
     assert [r["doc_id"] for r in lines.deduplicate(df).collect()] == [1, 1]
 
 
+def test_line_dedup_keeps_documents_with_lines_of_their_own(spark):
+    shared = "one shared line of a licence, long enough to be compared"
+    rows = [(1, shared), (2, f"{shared}\na verse\n\nof its own"), (3, f" {shared}\n \n"), (4, " \n"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {1: shared, 2: "a verse\n\nof its own", 4: " \n", 5: None}
+
+
 def test_substrings_against_brute_force(docs, empty):
     rows = corpus()
     first = {}
