@@ -9,8 +9,10 @@ and letter parities allow so few edits (an edit changes two of 64 parity bits at
 a banded bit-parallel automaton: a word of ``2 * threshold + 1`` bits for each number of edits, a bit
 for each diagonal, one step for each byte.
 
-Lines are compared without the white space around them, in UTF-8 bytes; those under ``min_bytes`` bytes
-(headings, list marks) are left alone, as they repeat by chance. Equal lines are first brought down to
+Lines are compared without the white space around them, in UTF-8 bytes. Those under ``min_bytes`` bytes are
+not joined within edits, as short lines are like each other by chance; those of ``exact_bytes`` bytes and more
+go where they are equal. The pipeline's stage takes all lines with a word (``exact_bytes`` of 1), op9 as its SQL
+those of ``MIN_BYTES``. Equal lines are first brought down to
 one row by 128-bit hashes, so a line that a third of all documents hold is one candidate. A line goes if
 it isn't the first of its equals by (doc_id, place), or if another line within ``threshold`` edits has
 an earlier first place.
@@ -45,9 +47,9 @@ def _bytes(line: Column) -> Column:
 
 
 def occurrences(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """h and g (hashes of the line), doc, rid, pos for each line that is long enough."""
+    """h and g (hashes of the line), n (its bytes), doc, rid, pos for each line that is long enough."""
     each = rows.select("doc", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "rid", "pos", _bytes(F.col("line")).alias("b"))
-    return each.where(F.octet_length("b") >= min_bytes).select(F.xxhash64("b").alias("h"), F.xxhash64(F.lit(1), "b").alias("g"), "doc", "rid", "pos")
+    return each.where(F.octet_length("b") >= min_bytes).select(F.xxhash64("b").alias("h"), F.xxhash64(F.lit(1), "b").alias("g"), F.octet_length("b").alias("n"), "doc", "rid", "pos")
 
 
 def _with_bytes(rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -154,26 +156,27 @@ def links(rows: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> Data
     return met.where(within(F.col("b"), F.col("b2"), threshold)).select(F.col("x").alias("h"), "g", "first", F.col("y").alias("h2"), "g2", "first2")
 
 
-def repeated(rows: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated(rows: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int = MIN_BYTES) -> DataFrame:
     """The lines that go: doc, rid, pos and whether the line itself came before (exact) or one like it."""
-    found = occurrences(rows, min_bytes)
-    lines = scratch.table(found.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", "rid")).alias("first")), "distinct-lines")
+    found = occurrences(rows, exact_bytes)
+    lines = scratch.table(found.groupBy("h", "g").agg(F.min(F.struct("doc", "pos", "rid")).alias("first"), F.max("n").alias("n")), "distinct-lines")
     scratch.release(rows.sparkSession)
     before = F.col("first2") < F.col("first")
-    late = links(rows, lines, threshold).select(F.when(before, F.col("h")).otherwise(F.col("h2")).alias("h"), F.when(before, F.col("g")).otherwise(F.col("g2")).alias("g"))
+    long = lines.where(F.col("n") >= min_bytes).drop("n")
+    late = links(rows, long, threshold).select(F.when(before, F.col("h")).otherwise(F.col("h2")).alias("h"), F.when(before, F.col("g")).otherwise(F.col("g2")).alias("g"))
     near = scratch.table(late.distinct(), "near-lines").withColumn("near", F.lit(True))
-    judged = scratch.table(lines.join(near, ["h", "g"], "left"), "first-lines")
+    judged = scratch.table(lines.drop("n").join(near, ["h", "g"], "left"), "first-lines")
     scratch.release(rows.sparkSession)
     same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
-    return found.join(judged, ["h", "g"]).withColumn("exact", ~same).where("exact OR near").select("doc", "rid", "pos", "exact")
+    return found.drop("n").join(judged, ["h", "g"]).withColumn("exact", ~same).where("exact OR near").select("doc", "rid", "pos", "exact")
 
 
-def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, min_bytes: int) -> DataFrame:
+def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, min_bytes: int, exact_bytes: int) -> DataFrame:
     """The columns of ``docs`` as _in_0, _in_1 ..., doc, n_lines, n_compared, n_exact, n_near and kept_text."""
     rows = _rows(docs, id_column, text_column)
     scratch.release(docs.sparkSession)
     gone = (
-        repeated(rows, threshold, min_bytes).distinct().groupBy(F.col("rid").alias("_r"))
+        repeated(rows, threshold, min_bytes, exact_bytes).distinct().groupBy(F.col("rid").alias("_r"))
         .agg(F.collect_list(F.struct("doc", "pos", "exact")).alias("_all"))
     )
     gone = scratch.table(gone, "line-places")
@@ -187,24 +190,26 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, m
         *[c for c in rows.columns if c.startswith("_in_")],
         "doc",
         F.size(F.filter("_sizes", lambda n: n > 0)).cast("long").alias("n_lines"),
-        F.size(F.filter("_sizes", lambda n: n >= min_bytes)).cast("long").alias("n_compared"),
+        F.size(F.filter("_sizes", lambda n: n >= exact_bytes)).cast("long").alias("n_compared"),
         F.greatest(exact, F.lit(0)).cast("long").alias("n_exact"),
         (F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)) - F.greatest(exact, F.lit(0))).cast("long").alias("n_near"),
         kept.alias("kept_text"),
     )
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int = MIN_BYTES
+) -> DataFrame:
     """doc_id, n_lines, n_compared (long enough), n_exact, n_near (lines that go) and what is left of the text as kept_text."""
-    out = _judged(docs.select(id_column, text_column), id_column, text_column, threshold, min_bytes)
+    out = _judged(docs.select(id_column, text_column), id_column, text_column, threshold, min_bytes, exact_bytes)
     return out.select(F.col("doc").alias("doc_id"), "n_lines", "n_compared", "n_exact", "n_near", "kept_text")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without repeated lines, same columns. A document that had lines with a word and has none left holds
+    """``docs`` without repeated lines of any length, same columns. A document that had lines with a word and has none left holds
     nothing of its own and goes as well; one that keeps any, however short, stays with those."""
     at = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    out = _judged(docs, id_column, text_column, THRESHOLD, MIN_BYTES).where("n_lines = 0 OR n_exact + n_near < n_lines")
+    out = _judged(docs, id_column, text_column, THRESHOLD, MIN_BYTES, exact_bytes=1).where("n_lines = 0 OR n_exact + n_near < n_lines")
     cut = F.col("n_exact") + F.col("n_near") > 0
     changed = {at[text_column]: F.when(cut, F.col("kept_text")).otherwise(F.col(at[text_column]))}
     if "n_chars" in at:

@@ -139,6 +139,12 @@ def test_line_dedup_keeps_documents_with_lines_of_their_own(spark):
     assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {1: shared, 2: "a verse\n\nof its own", 4: " \n", 5: None}
 
 
+def test_line_dedup_removes_short_lines_that_are_equal(spark):
+    rows = [(1, "Released under MIT.\nown 1"), (2, " Released under MIT.\nown 2\n\nReleased under MIT."), (3, "Released under MIT!\n}"), (None, "own 1"), (4, "Released under MIT.\n}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {None: "own 1", 1: "Released under MIT.", 2: "own 2\n", 3: "Released under MIT!\n}"}
+
+
 def test_substrings_against_brute_force(docs, empty):
     rows = corpus()
     first = {}
