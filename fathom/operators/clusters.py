@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_ITER, TOL = 1000, 1e-6
+
+
 def elbow(inertia: DataFrame) -> DataFrame:
     """best_k of rows (k, inertia): where the second difference is least; 2 where there are too few."""
     w = Window.orderBy("k")  # one row a candidate, under 30
@@ -22,7 +25,7 @@ def find_best_k(features: DataFrame, columns: list[str], seed: int = 42, most: i
         return 1, []
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(features).select("features").persist()
     candidates = list(range(2, min(most, n)))
-    costs = [KMeans(k=k, seed=seed, maxIter=20).fit(vectors).summary.trainingCost for k in candidates]
+    costs = [KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL).fit(vectors).summary.trainingCost for k in candidates]
     vectors.unpersist()
     if len(candidates) < 3:
         return (candidates[0] if candidates else max(1, min(2, n - 1))), costs
@@ -32,7 +35,7 @@ def find_best_k(features: DataFrame, columns: list[str], seed: int = 42, most: i
 
 def assign(features: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(features)
-    return KMeans(k=k, seed=seed, maxIter=50, predictionCol="bins").fit(vectors).transform(vectors).drop("features")
+    return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, predictionCol="bins").fit(vectors).transform(vectors).drop("features")
 
 
 def quality(points: DataFrame, columns: list[str], by: str = "bins") -> DataFrame:

@@ -362,7 +362,7 @@ def cluster_kmeans(spark, sf):
     f = series.metafeatures(kept(spark, sf))
     names = [c for c in f.columns if c.startswith("qty__")]
     scaled = series.minmax(f, names).persist()
-    k, _ = clusters.find_best_k(scaled, names, most=8)
+    k, _ = clusters.find_best_k(scaled, names)
     return clusters.assign(scaled, names, k).select("sku", "store_id", "bins")
 
 

@@ -8,6 +8,8 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fathom.config import Settings
@@ -15,6 +17,7 @@ from fathom.errors import ConfigurationError, DataValidationError, InsufficientD
 from fathom.functions.periods import Period
 from fathom.models import forecasters
 from fathom.operators import clusters, evaluation, scaling, series, windows
+from fathom.plans import queries
 from fathom.sources import ledger
 
 
@@ -151,6 +154,22 @@ def test_elbow_and_small_inputs(spark):
     assert clusters.find_best_k(f.limit(1), ["x"])[0] == 1
 
 
+def test_cluster_query_searches_all_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", "x", float(rng.normal(i % 9, 0.05)), float(rng.normal(i % 4, 0.05))) for i in range(45)]
+    points, found = spark.createDataFrame(rows, "sku string, store_id string, qty__a double, qty__b double"), []
+    search = clusters.find_best_k
+    monkeypatch.setattr(queries, "kept", lambda spark, sf: points)
+    monkeypatch.setattr(series, "metafeatures", lambda df: df)
+    monkeypatch.setattr(clusters, "find_best_k", lambda *a, **b: found.append(search(*a, **b)) or found[0])
+    bins = queries.cluster_kmeans(spark, "").select("bins").distinct().count()
+    k, costs = found[0]
+    assert len(costs) == 28 and bins == k == clusters.elbow(spark.createDataFrame(list(zip(range(2, 30), costs)), "k int, inertia double")).first()[0]
+    vectors = VectorAssembler(inputCols=["qty__a", "qty__b"], outputCol="features").transform(series.minmax(points, ["qty__a", "qty__b"]))
+    for n in (5, 17):
+        assert math.isclose(costs[n - 2], KMeans(k=n, seed=42, maxIter=1000, tol=1e-6).fit(vectors).summary.trainingCost, rel_tol=1e-6)
+
+
 def test_patches_resize_decompose(spark):
     one = spark.createDataFrame([([1.0, 2.0, 3.0],)], "a array<double>")
     assert one.select(windows.patches(F.col("a"), 2)).first()[0] == [[1, 2], [3, 0]]
