@@ -12,8 +12,13 @@ miss a link between two members that both fail against the centre. Therefore the
 that still hold several components are compared with each other, in tiles of bounded size, by numpy on
 full sets; only edges that join components come out, so again no more than there are members.
 
+Rows are told apart by ``rid``, a key of id and text, so null ids and an id with several texts bear no
+mixing up. A group keeps its row of least id, null ids after all others, ties by rid; its component_id is that id.
+
 Defined results: null, empty or blank text has an empty set and links with nothing, repeated rows
-with such texts too; fewer than five words make one shingle; repeated rows and copies link; an empty
+with such texts too; fewer than five words make one shingle; repeated rows and copies link; repeated rows
+(same id and text) are kept or not alike, and ``deduplicate`` leaves one of them; rows of one id with
+different texts are separate documents; component_id is null where no row of a group has an id; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import scratch, wordhash
+from fathom.llm import scratch, texts, wordhash
 from fathom.llm.components import components
 
 WORDS = 5
@@ -74,14 +79,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (s1, s2) and the band keys."""
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """rid, doc_id and text of every row."""
+    doc, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    return docs.select(texts.row_key(doc, text).alias("rid"), doc.alias("doc_id"), text.alias("text"))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, n_shingles, a 128-bit digest of the set (s1, s2) and the band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = wordhash.mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
         for batch in batches:
             n, s1, s2, keys = [], [], [], []
-            for u in shingle_sets(batch.column(1)):
+            for u in shingle_sets(batch.column(2)):
                 n.append(len(u))
                 s1.append(np.add.reduce(wordhash.mix(u + np.uint64(1))))
                 s2.append(np.add.reduce(wordhash.mix(u ^ np.uint64(0x5851F42D4C957F2D))))
@@ -94,14 +105,14 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     keys.append(np.empty(0, np.int64))
             sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *sums, bands], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *sums, bands], ["rid", "doc_id", "n_shingles", "s1", "s2", "bands"])
 
-    kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(sketch, kind)
+    kind = "rid long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    return rows.select("rid", "doc_id", "text").mapInArrow(sketch, kind)
 
 
-def sets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and its sorted shingle hashes."""
+def sets(rows: DataFrame) -> DataFrame:
+    """rid and its sorted shingle hashes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,15 +120,15 @@ def sets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 part = batch.slice(at, 500)
                 each = list(shingle_sets(part.column(1)))
                 items = pa.array(np.concatenate(each).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), items)], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), items)], ["rid", "shingles"])
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(build, "doc_id long, shingles array<long>")
+    return rows.select("rid", "text").mapInArrow(build, "rid long, shingles array<long>")
 
 
 def overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with na, nb and the size of their sets' intersection."""
-    left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = full.select(F.col("rid").alias("a"), F.col("shingles").alias("sa"))
+    right = full.select(F.col("rid").alias("b"), F.col("shingles").alias("sb"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +155,7 @@ LINKED = f"100 * common >= {PERCENT} * (na + nb - common)"
 
 
 def _cross_links(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges that join what full sets link among (doc, component, set) rows of different components; fewer than rows."""
+    """Edges that join what full sets link among (row, component, set) rows of different components; fewer than rows."""
     doc, component = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
     if (component == component[0]).all():
         return []
@@ -197,7 +208,7 @@ def rest_of_buckets(buckets: DataFrame, full: DataFrame) -> DataFrame:
         buckets.join(once, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component")
     )
-    placed = dealt.join(full, dealt.rep == full.doc_id).select("key", "i", "j", "rep", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    placed = dealt.join(full, dealt.rep == full.rid).select("key", "i", "j", "rep", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> Iterator[pa.RecordBatch]:
@@ -220,15 +231,15 @@ def rest_of_buckets(buckets: DataFrame, full: DataFrame) -> DataFrame:
     return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
-def link(reps: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(node, component) for linked representatives. ``reps``: a stored table doc_id, n_shingles, bands."""
-    keys = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+def link(reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, component) for linked representatives. ``reps``: a stored table rid, n_shingles, bands; ``rows``: of ``keyed``."""
+    keys = reps.select(F.col("rid").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("center")).where("c > 1")
     buckets = scratch.table(keys.join(shared, "key").select("key", "rep", "n", "center"), "buckets")
-    wanted = buckets.select(F.col("rep").alias(id_column)).distinct()
-    full = scratch.table(sets(docs.select(id_column, text_column).join(wanted, id_column).dropDuplicates([id_column]), id_column, text_column), "sets")
+    wanted = buckets.select(F.col("rep").alias("rid")).distinct()
+    full = scratch.table(sets(rows.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"])), "sets")
     sized = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    sizes = reps.select(F.col("doc_id").alias("center"), F.col("n_shingles").alias("m"))
+    sizes = reps.select(F.col("rid").alias("center"), F.col("n_shingles").alias("m"))
     stars = buckets.where("rep <> center").select("rep", "n", "center").distinct().join(sizes, "center").where(sized)
     found = scratch.table(overlaps(stars.select(F.col("center").alias("a"), F.col("rep").alias("b")), full).where(LINKED).select("a", "b"), "stars")
     labels = scratch.table(components(found), "labels")
@@ -239,24 +250,33 @@ def link(reps: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_colum
     return scratch.table(components(found.unionByName(rest)), "labels")
 
 
+def _grouped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """rid, doc_id, n_shingles and first (the row that the group keeps: whether its id is null, doc_id, rid) of every document."""
+    rows = keyed(docs, id_column, text_column)
+    base = scratch.table(sketches(rows), "sketches")
+    sets_of, place = ["n_shingles", "s1", "s2"], F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    first = base.where("n_shingles > 0").groupBy(*sets_of).agg(F.min(place).alias("rep"))
+    member = scratch.table(base.select("rid", "doc_id", *sets_of).join(first, sets_of, "left").select("rid", "doc_id", "n_shingles", F.coalesce("rep", place).alias("rep")), "members")
+    chosen = base.where("n_shingles > 0").join(first, base.rid == first.rep.rid, "left_semi").dropDuplicates(["rid"])
+    reps = scratch.table(chosen.select("rid", "doc_id", "n_shingles", "bands"), "reps")
+    labels = link(reps, rows)
+    # components go by the least rid; the row that stays is the least by id
+    known = labels.join(reps.select(F.col("rid").alias("node"), place.alias("place")), "node")
+    best = known.groupBy("component").agg(F.min("place").alias("best"))
+    judged = labels.join(best, "component").select("node", "best")
+    return member.join(judged, member.rep.rid == judged.node, "left").select("rid", "doc_id", "n_shingles", F.coalesce("best", "rep").alias("first"))
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    base = scratch.table(sketches(docs, id_column, text_column), "sketches")
-    sets_of = ["n_shingles", "s1", "s2"]
-    first = base.where("n_shingles > 0").groupBy(*sets_of).agg(F.min("doc_id").alias("rep"))
-    member = scratch.table(base.select("doc_id", *sets_of).join(first, sets_of, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    chosen = base.where("n_shingles > 0").join(first, (base.doc_id == first.rep), "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.table(chosen.select("doc_id", "n_shingles", "bands"), "reps")
-    labels = link(reps, docs, id_column, text_column)
-    return member.join(labels, member.rep == labels.node, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("component", "rep") == F.col("doc_id")).alias("kept")
-    )
+    return _grouped(docs, id_column, text_column).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without all but the first document of each group; of repeated ids one row stays."""
-    kept = groups(docs, id_column, text_column).where("kept").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
+    """``docs`` without all but the first document of each group; of repeated rows one stays."""
+    kept = _grouped(docs, id_column, text_column).where("first.rid = rid").select(F.col("rid").alias("_rid")).distinct()
+    rid = texts.row_key(F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string"))
+    return docs.withColumn("_rid", rid).join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ random number of its blocks while the totals hold. The k-th slot of a source tak
 (Feistel rounds with cycle walking): no block is used twice before every other one is used once, and
 nothing is shuffled to draw. Slots and blocks meet in a join on (source, block).
 
+Rows are told apart by ``rid``, a key of id, text and source, and ``nth``, the place among rows that share it.
+
 Defined results: null text has size 0; the null source is a source of its own, last in order; an
-empty table gives an empty mix; repeated rows are separate documents; other columns are ignored.
+empty table gives an empty mix; repeated rows are separate documents, each with its own place in the
+stream, as are rows with a null id or with one id and different texts; other columns are ignored.
 Only sums by source reach the driver, one row a source.
 """
 
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm import scratch, texts
@@ -72,9 +75,13 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _rid() -> Column:
+    return texts.row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(texts.words(F.col("text"))).cast("long").alias("size"))
+    """rid, doc_id, source and size in words."""
+    return docs.select(_rid().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), F.size(texts.words(F.col("text"))).cast("long").alias("size"))
 
 
 def streams(sizes: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -97,15 +104,17 @@ def streams(sizes: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = W
     keyed = (
         sizes.withColumnRenamed("source", "_s")
         .join(sources.select("sid", "source", "source_size", "target"), F.col("_s").eqNullSafe(F.col("source")))
-        .withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+        .withColumn("_chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.col("rid")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)))
     )
     sums = keyed.groupBy("sid", "_chunk").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("_chunk")) - F.col("n")
-    inside = Window.partitionBy("sid", "_chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("sid", "_chunk").orderBy("doc_id", "size", "rid")
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         keyed.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
+        .withColumn("nth", F.row_number().over(order) - F.rank().over(order))
         .join(sums.select("sid", "_chunk", before.alias("_before")), ["sid", "_chunk"])
-        .select("doc_id", "sid", "source", "size", "source_size", "target", (F.col("_in") + F.col("_before")).alias("begin"))
+        .select("rid", "nth", "doc_id", "sid", "source", "size", "source_size", "target", (F.col("_in") + F.col("_before")).alias("begin"))
     )
     return placed, sources
 
@@ -135,12 +144,12 @@ def slots(sources: DataFrame, total_draws: int, seed: int = SEED) -> DataFrame:
 
 
 def blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The part of each document in each block: sid, block, doc_id, begin, at (first word in the document), words."""
+    """The part of each document in each block: sid, block, rid, nth, begin, at (first word in the document), words."""
     last = F.col("begin") + F.col("size")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((last - 1) / block))))
     lo = F.greatest(F.col("begin"), F.col("block") * block)
     hi = F.least(last, (F.col("block") + 1) * block)
-    return cut.select("sid", "block", "doc_id", "begin", (lo - F.col("begin")).alias("at"), (hi - lo).alias("words"))
+    return cut.select("sid", "block", "rid", "nth", "begin", (lo - F.col("begin")).alias("at"), (hi - lo).alias("words"))
 
 
 def used_parts(placed: DataFrame, sources: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -157,7 +166,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     placed, sources = streams(sizes, block)
     placed = scratch.table(placed, "streams")
     parts = used_parts(placed, sources, block, seed)
-    spans = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "words", "uses"))).alias("_spans"))
+    spans = parts.groupBy(F.col("rid").alias("_rid")).agg(F.array_sort(F.collect_list(F.struct("nth", "at", "words", "uses"))).alias("_all"))
 
     def cut(text, n):
         # each word with the white space after it; what precedes the first word goes with none
@@ -168,7 +177,12 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
         )
 
     copies = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["uses"])).cast("int")))
-    rows = docs.join(spans, "doc_id").withColumn("_n", copies).withColumn("text", cut(F.col("text"), F.col("_n")))
+    # rows that share a rid are dealt their places one by one; those without a word have none
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text", "source") and "map<" not in kind]
+    each = Window.partitionBy("_rid").orderBy(F.xxhash64("_rid", *others))
+    worded = docs.where(F.col("text").rlike(texts.WORD)).withColumn("_rid", _rid()).withColumn("_nth", F.row_number().over(each) - 1)
+    own = F.filter("_all", lambda s: s["nth"] == F.col("_nth"))
+    rows = worded.join(spans, "_rid").withColumn("_spans", own).withColumn("_n", copies).withColumn("text", cut(F.col("text"), F.col("_n")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
@@ -179,7 +193,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     sizes = scratch.table(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
     placed, sources = streams(sizes)
     placed = scratch.table(placed, "streams")
-    taken = used_parts(placed, sources).groupBy("doc_id", "sid", "begin").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    some = placed.where("size > 0").join(taken, ["doc_id", "sid", "begin"], "left")
+    taken = used_parts(placed, sources).groupBy("rid", "sid", "begin").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    some = placed.where("size > 0").join(taken, ["rid", "sid", "begin"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

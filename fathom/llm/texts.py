@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
+def row_key(*columns: Column) -> Column:
+    """A 64-bit key of a row by those columns, never null: rows with equal values share it, also where some are null."""
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def total(items: Column) -> Column:
     """Sum of an array of integers as a long."""
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)

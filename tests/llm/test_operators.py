@@ -291,6 +291,32 @@ def test_mixing(docs, empty, spark, tmp_path):
     assert mixed.columns == docs.columns
 
 
+def test_rows_without_ids_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (300, 400, 500, 260)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (9, text[2] + " x"), (3, text[3] + " y"), (5, text[0])]
+    rows += [(None, None), (4, "a b c"), (4, "a b c")]
+    found = [(*r, "en", "a", len(r[1] or "")) for r in rows]
+    df = spark.createDataFrame(found, DOCS)
+    key = lambda r: tuple(str(x) for x in r)
+    kept = [(None, 396, None, True)] * 2 + [(None, 296, 5, False), (5, 296, 5, True), (7, 496, 7, True), (9, 497, 7, False), (7, 256, 3, False), (3, 257, 3, True)]
+    kept += [(None, 0, None, True), (4, 1, 4, True), (4, 1, 4, True)]
+    assert sorted((tuple(r) for r in minhash.groups(df).collect()), key=key) == sorted(kept, key=key)
+    stay = [(None, text[1]), (5, text[0]), (7, text[2]), (3, text[3] + " y"), (None, None), (4, "a b c")]
+    assert sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicate(df).collect()), key=key) == sorted(stay, key=key)
+
+    out = mixing.op5_mixing(spark, table(spark, tmp_path, "documents", found, DOCS)).collect()
+    size = [len((t or "").split()) for _, t in rows]
+    assert sorted(r["size"] for r in out) == sorted(size) and all(r["taken"] <= 2 * r["size"] for r in out)
+    total, drawn = sum(size), sum(r["taken"] for r in out)
+    assert abs(drawn - 1.5 * total) <= 2 * mixing.BLOCK
+    taken = Counter()
+    for r in mixing.mixed(df).collect():
+        taken[r["doc_id"], len(r["text"].split())] += 1
+        assert any(d == r["doc_id"] and r["text"].strip() and set(r["text"].split()) <= set((t or "").split()) for d, t in rows)
+    assert sum(n * k for (_, n), k in taken.items()) == drawn
+
+
 def test_urls(spark):
     pages = [(1, "https://Example.org/es/a"), (2, "http://x.org/y?q"), (3, "https://a.com/fr/"), (4, "http://com/de/b#c"), (5, None), (6, "nothing"), (7, "https://z.net/q"), (8, "https://example.org/en/12")]
     df = spark.createDataFrame(pages, "page_id long, url string")
