@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is the session's ``spark.checkpoint.dir``. Tables there cut lineage and survive lost
-executors. Only where the setting is absent (tests, notebooks) is a temporary folder used.
+executors. Where the setting is absent, a local master gets a temporary folder of its own, and a cluster an error.
+A table goes when the application ends, or earlier with ``drop``; those that a result still reads have to stay.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def root(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="fathom-"))
     return found.rstrip("/")
 
