@@ -1,26 +1,29 @@
-"""Removing passages of ``LENGTH`` words that a document with a smaller id has as well.
+"""Removing passages of ``LENGTH`` words that a document with a smaller id has as well, by level-wise doubling.
 
-Windows repeated at half the length are extended to the full length, level by level, and at each
-level only what repeats goes on:
+Windows repeated at one length alone are extended to twice that length, until ``LENGTH`` is reached or none
+survive (lengths 13, 25, 50 for 50: each half of the next, rounded up, so that two overlap by a word at most):
 
-1. Of all windows of half the length, those picked by winnowing (the least hash among any
-   ``LENGTH/2 + 1`` neighbours, the rightmost of equals) are anchors. Every full window holds the anchor
-   picked for it, and equal windows hold the same one, so full windows can only repeat where their
-   anchor occurs in two documents. Anchors of one document alone are dropped.
-2. An anchor's full windows together form its context. Where a document with a smaller id has the same
-   context, all these windows are decided at once; only one document for each context goes on.
-3. The remaining contexts are cut into their single full windows, which are compared by hash.
+1. Seeds, at the first length: of the windows in each window of the second length the least by hash (the rightmost of
+   equals). Equal windows hold the same seed, so a window of the second length can only repeat where its seed does.
+   That leaves one in seven windows to be shuffled, and none out.
+2. At the second length every window with a seed that occurs in two documents is compared.
+3. From then on a window goes on to the next length where it and its neighbour, with which it makes up that length, are
+   both in two documents. At the last length the least doc_id that a window starts in is what decides.
 
-Hashes: anchors 64 bits (a collision costs time only), contexts and windows 128 bits.
+Of documents with equal texts only the one with the least id is looked at; the others are covered as a whole. At every
+level windows are first summed by hash, before the shuffle; then rows meet the sums, and hashes with a large share of
+all rows are looked up where the rows lie (see ``skew``), so that a passage of a third of all documents gathers nowhere.
+
+Hashes: 64 bits on the way (a collision costs time only), 128 bits at the last length and for whole texts.
 
 Defined results: null text has no words and an empty kept text; texts shorter than a window stay
-whole; of repeated rows with one id neither removes the other, as ids must differ; an empty table
-gives an empty result; other columns are ignored.
+whole; of repeated rows with one id neither removes the other, as ids must differ; rows of one id with different
+texts are judged each for itself; a row without an id stays whole and removes nothing; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import scratch, wordhash
+from fathom.llm import scratch, skew, texts, wordhash
 
 LENGTH = 50
+#: No level is shorter than half of this.
+SHORTEST = 16
 _ODD = np.uint64(0xA24BAED4963EE407)
+#: In place of a window's start: all windows of the document.
+WHOLE = -1
+
+
+def levels(length: int) -> list[int]:
+    """The lengths of the levels, the last one first halved, then its half, and so on."""
+    out = [length]
+    while out[0] > SHORTEST:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
 def _rightmost_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -47,100 +62,117 @@ def _rightmost_least(h: np.ndarray, width: int) -> np.ndarray:
     return better(at[: len(at) - (width - step)], at[width - step :]) if step < width else at
 
 
-def _runs(words: np.ndarray, half: np.ndarray, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the words lo..hi of one text: its anchors (place), first and last full window of each; places from lo."""
-    n = hi - lo - length + 1
-    anchor = _rightmost_least(half[lo : hi - length // 2 + 1], length - length // 2 + 1)[:n]
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    return anchor[first], first, np.append(first[1:], n) - 1
+def _inside(owner: np.ndarray, length: int) -> np.ndarray:
+    """Whether the window of ``length`` words at each place lies in one text. ``owner``: the text of each word."""
+    n = max(0, len(owner) - length + 1)
+    return owner[:n] == owner[length - 1 : length - 1 + n]
 
 
-def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each anchor: its hash, the hash of its context, doc_id, and its full windows lo..hi in one long."""
+def _seeds(words: np.ndarray, owner: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(for each window of the second length the place of its seed, whether the window lies in one text)."""
+    inside = _inside(owner, lengths[1])
+    first = wordhash.windows(words, lengths[0])
+    return _rightmost_least(first, lengths[1] - lengths[0] + 1)[: len(inside)], inside
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, words, bounds in wordhash.chunks(batch.column(1), lower=False):
-                half = wordhash.windows(words, length // 2)
-                # prefix sums of word hashes times powers of an odd number; odd numbers have inverses modulo 2^64
-                power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _ODD)]))
-                back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), np.uint64(pow(int(_ODD), -1, 1 << 64)))]))
-                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1])])
-                h, c, doc, span = [], [], [], []
-                for k in range(len(bounds) - 1):
-                    lo, hi = int(bounds[k]), int(bounds[k + 1])
-                    if hi - lo < length:
-                        continue
-                    at, first, last = _runs(words, half, lo, hi, length)
-                    h.append(half[lo + at])
-                    a, b = lo + first, lo + last + length
-                    c.append(wordhash.double((prefix[b] - prefix[a]) * back[a], (last - first).astype(np.uint64)))
-                    doc.append(np.full(len(at), ids[start + k]))
-                    span.append(first * 128 + (last - first))
-                if h:
-                    cols = [np.concatenate(h).view(np.int64), np.concatenate(c).view(np.int64), np.concatenate(doc), np.concatenate(span)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "context", "doc", "span"])
-
-    assert length <= 128, "spans keep the number of windows in 7 bits"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL").mapInArrow(find, "anchor long, context long, doc long, span long")
-
-
-def _window_hashes(docs: DataFrame, length: int) -> DataFrame:
-    """w1, w2, doc, at for the full windows in ``spans`` of each document. ``docs``: doc_id, text, spans."""
+
+def _alive(spans: pa.Array, start: int, bounds: np.ndarray) -> np.ndarray:
+    """Which words of a chunk a window in ``spans`` starts at."""
+    out = np.zeros(int(bounds[-1]), bool)
+    own = spans.slice(start, len(bounds) - 1)
+    out[own.flatten().to_numpy(zero_copy_only=False) + np.repeat(bounds[:-1], own.value_lengths().to_numpy(zero_copy_only=False))] = True
+    return out
+
+
+def candidates(docs: DataFrame, lengths: list[int], level: int) -> DataFrame:
+    """The windows of a level: w1, w2 (0 before the last), doc, rid, at. ``docs``: rid, doc, text and, but for the first level,
+    spans: where the windows that survived the level before start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, last = lengths[level], level == len(lengths) - 1
         for batch in batches:
-            ids, spans = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for start, words, bounds in wordhash.chunks(batch.column(1), lower=False):
-                full = wordhash.windows(words, length)
-                other = wordhash.windows(wordhash.mix(words ^ _ODD), length)
-                doc, at, own = [], [], []
-                for k in range(len(bounds) - 1):
-                    s = spans[start + k].values.to_numpy(zero_copy_only=False)
-                    size = s % 128 + 1
-                    place = np.repeat(s // 128 - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    doc.append(np.full(len(place), ids[start + k]))
-                    at.append(place)
-                    own.append(place + bounds[k])
-                own = np.concatenate(own)
-                cols = [full[own].view(np.int64), other[own].view(np.int64), np.concatenate(doc), np.concatenate(at)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "doc", "at"])
-
-    return docs.mapInArrow(cut, "w1 long, w2 long, doc long, at long")
-
-
-def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and the first words of its windows that a smaller id has too, as spans (first * 128 + further ones)."""
-    found = anchors(docs, length)
-    both = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
-    repeated = scratch.table(found.join(both, "anchor"), "anchors")
-    scratch.release(docs.sparkSession)
-    group = repeated.groupBy("anchor", "context").agg(F.min("doc").alias("least"))
-    several = group.groupBy("anchor").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).where("lo < hi").select("anchor")
-    judged = scratch.table(repeated.join(group, ["anchor", "context"]), "contexts")
-    sure = judged.where("doc > least").select("doc", "span")
-    # a context that is an anchor's only one has nothing else to match
-    open_ = judged.where("doc = least").join(several, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(open_, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "spans")
-    fine = scratch.table(_window_hashes(texts, length), "windows")
-    scratch.release(docs.sparkSession)
-    least = fine.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    more = fine.join(least, ["w1", "w2"]).where("doc > least").select("doc", (F.col("at") * 128).alias("span"))
-    return scratch.table(sure.unionByName(more).groupBy("doc").agg(F.collect_list("span").alias("spans")), "covered")
+            rids, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for start, words, bounds in wordhash.chunks(batch.column(2), lower=False):
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                if len(words) < lengths[min(level + 1, len(lengths) - 1)]:
+                    continue
+                if level == 0 and last:
+                    at = np.flatnonzero(_inside(owner, n))
+                elif level == 0:
+                    seed, inside = _seeds(words, owner, lengths)
+                    at = seed[inside]
+                    at = at[np.diff(at, prepend=-1) != 0]
+                else:
+                    alive = _alive(batch.column(3), start, bounds)
+                    if level == 1:
+                        seed, inside = _seeds(words, owner, lengths)
+                        at = np.flatnonzero(inside & alive[seed])
+                    else:
+                        inside, step = _inside(owner, n), n - lengths[level - 1]
+                        at = np.flatnonzero(inside & alive[: len(inside)] & alive[step : step + len(inside)])
+                if not len(at):
+                    continue
+                own = owner[at]
+                w1 = wordhash.windows(words, n)[at].view(np.int64)
+                w2 = wordhash.windows(wordhash.mix(words ^ _ODD), n)[at].view(np.int64) if last else np.zeros(len(at), np.int64)
+                cols = [w1, w2, ids[start + own], rids[start + own], (at - bounds[own]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "doc", "rid", "at"])
+
+    return docs.mapInArrow(cut, "w1 long, w2 long, doc long, rid long, at int")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """rid and doc of rows whose whole text a smaller id has. ``rows``: rid, doc, t1, t2, stored."""
+    least = scratch.table(rows.groupBy("t1", "t2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"), "texts")
+    return skew.looked_up(rows, least, ["t1", "t2"], "n").where("doc > least").select("rid", "doc").distinct()
+
+
+def _gathered(met: DataFrame) -> DataFrame:
+    """_r, _d and where the windows start, for each document."""
+    return met.select("rid", "doc", "at").repartition("rid").groupBy(F.col("rid").alias("_r"), F.col("doc").alias("_d")).agg(F.collect_list("at").alias("spans"))
+
+
+#: Texts lie in buckets of rid, so this moves none; ids are compared where they meet.
+_SAME = "rid = _r AND NOT (doc <> _d)"
+
+
+def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """_r, _d and spans: where the windows start that a smaller id has too. ``rows``: rid, doc, text, in buckets of rid."""
+    spark, lengths = rows.sparkSession, levels(length)
+    hashed = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("rid", "doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    copies = scratch.table(_copies(scratch.table(hashed, "text-hashes")), "copies")
+    left = rows.where("doc IS NOT NULL").join(copies.select(F.col("rid").alias("_r"), F.col("doc").alias("_d")), F.expr(_SAME), "left_anti")
+    whole = copies.select(F.col("rid").alias("_r"), F.col("doc").alias("_d"), F.array(F.lit(WHOLE)).alias("spans"))
+    for level, n in enumerate(lengths):
+        found = scratch.table(candidates(left.select("rid", "doc", "text", *["spans"] * (level > 0)), lengths, level), f"windows-{n}")
+        sums = found.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+        repeated = scratch.table(sums, f"repeated-{n}")
+        scratch.release(spark)
+        met = skew.looked_up(found, repeated, ["w1", "w2"], "n")
+        last = level == len(lengths) - 1
+        spans = scratch.table(_gathered(met.where("doc > least") if last else met), f"spans-{n}")
+        scratch.release(spark)
+        if last or spans.isEmpty():
+            break
+        left = rows.join(spans, F.expr(_SAME))
+    return spans.unionByName(whole)
 
 
-def _mark(n: int, spans: np.ndarray, length: int) -> np.ndarray:
-    """Which of n words lie in the windows of ``spans``."""
+def _mark(n: int, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of n words lie in the windows that start at ``at``."""
+    if len(at) and at[0] == WHOLE:
+        return np.full(n, n >= length)
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, spans // 128, 1)
-    np.add.at(change, spans // 128 + spans % 128 + length, -1)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + length, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by single spaces (``kept_text``)."""
-    spans = covered(docs, length)
+    doc, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    rows = scratch.bucketed(docs.select(texts.row_key(doc, text).alias("rid"), doc.alias("doc"), text.alias("text")), "rid", "passages")
+    scratch.release(docs.sparkSession)
+    spans = covered(rows, length)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,46 +189,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, F.col("doc_id") == F.col("doc"), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def longest_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """How far repetition reaches: for each document the largest of length, 2*length, 4*length ... at which it
-    still has a window that another document has too. A window repeated at one length can only repeat at
-    twice that length where both halves do, so only those are extended, until none survives."""
-    out, level, n = None, docs.select("doc_id", "text"), length
-    while True:
-        spans = scratch.table(_both(level, n), f"level-{n}")
-        if spans.isEmpty():
-            break
-        found = spans.select(F.col("doc").alias("doc_id"), F.lit(n).cast("long").alias("longest"))
-        out = found if out is None else out.unionByName(found)
-        level = docs.select("doc_id", "text").join(spans.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-        n *= 2
-    if out is None:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("longest"))
-    best = out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
-
-
-def _both(docs: DataFrame, n: int) -> DataFrame:
-    """Documents with a window of n words that another document has as well."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, words, bounds in wordhash.chunks(batch.column(1), lower=False):
-                full = wordhash.windows(words, n)
-                for k in range(len(bounds) - 1):
-                    m = int(bounds[k + 1] - bounds[k]) - n + 1
-                    if m > 0:
-                        h = np.unique(full[bounds[k] : bounds[k] + m])
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), ids[start + k]))], ["w", "doc"])
-
-    w = docs.mapInArrow(cut, "w long, doc long")
-    both = w.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w")
-    return w.join(both, "w", "left_semi").select("doc").distinct()
+    return rows.join(spans, F.expr(_SAME), "left").select("doc", "text", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

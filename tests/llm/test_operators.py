@@ -165,10 +165,34 @@ def test_substrings_against_brute_force(docs, empty):
     assert substrings.deduplicated(empty).count() == 0
 
 
-def test_longest_repeats(spark):
-    w = [f"w{i}" for i in range(300)]
-    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:120])), (3, " ".join(w[200:255])), (4, "x")], "doc_id long, text string")
-    assert {r[0]: r[1] for r in substrings.longest_repeats(df).collect()} == {1: 100, 2: 100, 3: 50, 4: 0}
+@pytest.mark.parametrize("length", [7, 20, 33, 50, 70])
+def test_substrings_at_other_lengths(spark, monkeypatch, length):
+    """Documents over few words with passages in common, a null id, an id with two texts and a repeated row; chunks of some words."""
+    monkeypatch.setattr(substrings.skew, "HEAVY", 3)
+    rng = random.Random(length)
+    passage = [rng.choice("abcdefg") + str(rng.randrange(40)) for _ in range(400)]
+    rows = []
+    for i in range(30):
+        cuts = [rng.randrange(300) for _ in range(rng.randint(0, 3))]
+        rows.append((i * 7 % 31, " ".join(w for c in cuts for w in [*passage[c : c + rng.choice([12, 25, 60, 99])], f"own{i}", f"x{c}"])))
+    rows += [(None, " ".join(passage)), (40, rows[3][1]), (40, rows[4][1] + " more"), rows[2], (41, " ".join(passage)), (42, " ".join(passage)), (43, None)]
+    first = {}
+    for doc, text in rows:
+        w = (text or "").split()
+        for i in range(len(w) - length + 1):
+            if doc is not None:
+                first[tuple(w[i : i + length])] = min(first.get(tuple(w[i : i + length]), doc), doc)
+    expected = []
+    for doc, text in rows:
+        w = (text or "").split()
+        gone = set()
+        for i in range(len(w) - length + 1):
+            if doc is not None and first[tuple(w[i : i + length])] < doc:
+                gone |= set(range(i, i + length))
+        expected.append((-1 if doc is None else doc, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    df = spark.createDataFrame([(d, t, 1, [2]) for d, t in rows], "doc_id long, text string, rid int, spans array<int>")
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in substrings.deduplicated(df, length).collect()]
+    assert sorted(got) == sorted(expected) and sum(r[2] for r in got) > 0
 
 
 def test_cover_tree_against_all_pairs():
