@@ -212,6 +212,7 @@ def links(rows: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> Data
     few = scratch.table(few.select("*", F.octet_length("b").alias("n"), parities(F.col("b")).alias("parity")), "line-texts")
     scratch.release(rows.sparkSession)
     pairs = scratch.table(candidates(found, few, threshold), "line-pairs")
+    scratch.drop(found)
     left = few.select(F.col("h").alias("x"), "g", "first", "b")
     right = few.select(F.col("h").alias("y"), F.col("g").alias("g2"), F.col("first").alias("first2"), F.col("b").alias("b2"))
     met = pairs.join(left, "x").join(right, "y").repartition("x", "y")
@@ -230,6 +231,7 @@ def repeated(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     near = scratch.table(late.distinct(), "near-lines").withColumn("near", F.lit(True))
     # lines that are neither repeated nor near another have nothing to look up
     judged = scratch.table(lines.join(near, ["h", "g"], "left").where("times > 1 OR near").select("h", "g", "first", "near"), "first-lines")
+    scratch.drop(lines)
     scratch.release(rows.sparkSession)
     same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
     return found.drop("n").join(judged, ["h", "g"]).withColumn("exact", ~same).where("exact OR near").select("doc", "rid", "pos", "exact")

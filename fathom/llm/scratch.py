@@ -10,10 +10,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -35,7 +37,22 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return it as read from there."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.ref(out), path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for stored in tables:
+        known, path = _paths.pop(id(stored), (None, None))
+        if path and known() is stored:
+            _delete(stored.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -57,6 +74,4 @@ def release(spark: SparkSession) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's scratch tables. Frames that still read them become unusable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{spark.sparkContext.applicationId}-scratch")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{root(spark)}/{spark.sparkContext.applicationId}-scratch")

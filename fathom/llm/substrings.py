@@ -126,9 +126,10 @@ def _copies(rows: DataFrame) -> DataFrame:
     return skew.looked_up(rows, least, ["t1", "t2"], "n").where("doc > least").select("rid", "doc").distinct()
 
 
-def _gathered(met: DataFrame) -> DataFrame:
-    """_r, _d and where the windows start, for each document."""
-    return met.select("rid", "doc", "at").repartition("rid").groupBy(F.col("rid").alias("_r"), F.col("doc").alias("_d")).agg(F.collect_list("at").alias("spans"))
+def _gathered(met: DataFrame, *ids: str) -> DataFrame:
+    """_r, if wanted _d, and where the windows start, for each document."""
+    by = [F.col(c).alias(f"_{c[0]}") for c in ("rid", *ids)]
+    return met.select("rid", *ids, "at").repartition("rid").groupBy(*by).agg(F.collect_list("at").alias("spans"))
 
 
 #: Texts lie in buckets of rid, so this moves none; ids are compared where they meet.
@@ -147,13 +148,18 @@ def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         sums = found.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
         repeated = scratch.table(sums, f"repeated-{n}")
         scratch.release(spark)
-        met = skew.looked_up(found, repeated, ["w1", "w2"], "n")
-        last = level == len(lengths) - 1
-        spans = scratch.table(_gathered(met.where("doc > least") if last else met), f"spans-{n}")
+        if level == len(lengths) - 1:
+            met = skew.looked_up(found, repeated, ["w1", "w2"], "n").where("doc > least")
+            spans = scratch.table(_gathered(met, "doc"), f"spans-{n}")
+        else:
+            # places of another document with the same rid would be candidates too many, no more
+            met = skew.looked_up(found.select("w1", "rid", "at"), repeated.select("w1", "n"), ["w1"], "n")
+            spans = scratch.table(_gathered(met), f"spans-{n}")
+            if spans.isEmpty():
+                return whole
+            left = rows.where("doc IS NOT NULL").join(spans, F.col("rid") == F.col("_r"))
+        scratch.drop(found, repeated)
         scratch.release(spark)
-        if last or spans.isEmpty():
-            break
-        left = rows.join(spans, F.expr(_SAME))
     return spans.unionByName(whole)
 
 
