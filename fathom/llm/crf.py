@@ -3,123 +3,212 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 
-#: What is kept of a word: letters, digits and other characters by class, runs shortened.
+from fathom.llm import wordhash
+
+#: What is kept of a word: letters, digits and other characters by class, runs shortened. Letters beyond ASCII count as small ones.
 _SHAPES = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "9" * 10)
-_LONG = re.compile(r"([Aa])\1{2,}")
+_BEYOND = re.compile(r"[^\x00-\x7F]")
+_LONG = re.compile(r"([^9])\1{2,}")
+_AROUND = ".,;:!?()[]<>\"'|"
+#: Times that a word has to be in the labelled table to be known by itself.
+OFTEN = 4
+#: What the tag outside of spans gets on top when texts are decoded: a span has to be this much better than none.
+CAUTION = 0.5
+#: Words whose scores are held at once.
+CELLS = 200_000
 
 
 def shape(word: str) -> str:
-    """Letters as A or a with runs cut to two, digits as 9 each, the rest as it is; long words by their ends."""
-    out = _LONG.sub(r"\1\1", word.translate(_SHAPES))
+    """Letters as A or a, digits as 9 each, the rest as it is, runs of all but digits cut to two; long words by their ends."""
+    out = _LONG.sub(r"\1\1", _BEYOND.sub("a", word).translate(_SHAPES))
     return out if len(out) <= 24 else f"{out[:12]}~{out[-8:]}"
 
 
 def word_features(word: str) -> list[str]:
     """Features of one word; nothing in them names a person or an address."""
-    s = shape(word)
-    digits = sum(c.isdigit() for c in word)
-    core = word.strip(".,;:!?()[]<>\"'")
-    found = [f"s={s}", f"c={shape(core)}", f"d={min(digits, 6)}", f"n={min(len(core), 20) // 2}", f"e={s[:1]}{s[-1:]}"]
+    core = word.strip(_AROUND)
+    s, c = shape(word), shape(core)
+    digits = len(re.findall(r"[0-9]", word))
+    found = [f"s={s}", f"c={c}", f"d={min(digits, 6)}", f"n={min(len(core), 20) // 2}", f"e={s[:1]}{s[-1:]}", f"k={re.sub(r'9+', '9', c)[:12]}"]
     if digits:
         found.append(f"dd={digits}/{len(core) - digits if len(core) - digits < 6 else 6}")
         found.append("g=" + "-".join(str(len(g)) for g in re.findall(r"[0-9]+", core)[:5]))
-    if "@" in word:
-        found.append("at")
-    if not digits and len(core) <= 8 and core.isascii():
+        letters = sum(x.isalpha() for x in core)
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:]))
+        found.append(f"x={min(len(core) // 8, 5)},{min(letters // 4, 5)},{min(turns, 6)}")
+        found.append(f"hex={len(core) // 8}" if len(core) >= 16 and not core.lower().strip("0123456789abcdef") else f"one={not core.strip('0123456789')}")
+        if "=" in word:
+            found.append(f"after={word.split('=')[0].lower()[-12:]}")
+    else:
         found.append(f"w={core.lower()}")
-    for mark in "+-./:()[]":
+        if word[:1].isupper() and len(core) > 6:
+            found.append(f"z={core[-5:].lower()}")
+    for mark in "+-./:()[]=@_\"'":
         if mark in word:
             found.append(f"m={mark}")
     return found
 
 
+def _check_digit(digits: str) -> bool:
+    """Whether a number passes the Luhn check."""
+    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+_NUMBER = frozenset(b"0123456789+-.()/ ,")
+_NOT_NUMBER = np.array([b not in _NUMBER for b in range(256)])
+_DIGIT = np.array([48 <= b <= 57 for b in range(256)])
+
+
+AGAIN = "again"
+
+
+def _run(text: str) -> str:
+    """The feature of a run of numbers: how many digits in all, and whether their check digit fits."""
+    digits = "".join(re.findall(r"[0-9]", text[:200]))
+    return f"r={min(len(digits), 20)},{len(digits) >= 14 and _check_digit(digits)}"
+
+
+def run_features(words: list[str]) -> list[list[str]]:
+    """For each word of a sentence the feature of the run of numbers that it is in, if any, and whether it is the word before again."""
+    out: list[list[str]] = [[AGAIN] if i and w == words[i - 1] else [] for i, w in enumerate(words)]
+    i = 0
+    while i < len(words):
+        j = i
+        while j < len(words) and set(words[j].encode()) <= _NUMBER and re.search("[0-9]", words[j]):
+            j += 1
+        for k in range(i, j):
+            out[k].append(_run(" ".join(words[i:j])))
+        i = max(j, i + 1)
+    return out
+
+
+def number_runs(raw: bytes, data: np.ndarray, start: np.ndarray, end: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """(first word, word behind the last, feature) of each run of numbers in a line. ``fresh``: the words that begin a line."""
+    other, digit = np.append(0, np.cumsum(_NOT_NUMBER[data])), np.append(0, np.cumsum(_DIGIT[data]))
+    some = np.flatnonzero((other[end] == other[start]) & (digit[end] > digit[start]))
+    begins = np.flatnonzero((np.diff(some, prepend=-2) != 1) | fresh[some])
+    for a, b in zip(some[begins].tolist(), some[np.append(begins[1:], len(some)) - 1].tolist() if len(some) else []):
+        yield a, b + 1, _run(raw[start[a] : end[b]].decode())
+
+
+_MARKS = b",.;:!?"
+_MARK = np.zeros(256, np.int64)
+_MARK[list(_MARKS)] = np.arange(1, len(_MARKS) + 1)
+_SMALL = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
+_LENGTHS = 20
+
+
+def plain_words() -> list[str]:
+    """One word for each row of ``plain_rows``."""
+    return ["q" * n + mark for mark in ["", *_MARKS.decode()] for n in range(1, _LENGTHS + 1)]
+
+
+def plain_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """1 + the place in ``plain_words`` of each word of small letters, with a mark behind it or none; 0 for other words."""
+    other, points = np.append(0, np.cumsum(~_SMALL[data])), np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    mark = _MARK[data[end - 1]]
+    size = points[end] - points[start] - (mark > 0)
+    plain = (other[end] - other[start] == (mark > 0)) & (size > 0)
+    return np.where(plain, 1 + mark * _LENGTHS + np.minimum(size, _LENGTHS) - 1, 0)
+
+
 class Model:
     """Weights by feature and tag for a word itself, its left and its right neighbour, and for pairs of tags."""
 
     def __init__(self, tags: tuple[str, ...], index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.tags, self.index, self.weights, self.moves = tags, index, weights, moves
-        self._known: dict[str, np.ndarray] = {}
+        self.tags, self.index, self.weights, self.moves = tags, index, weights.astype(np.float32), moves.astype(np.float32)
+        # plain words that are known by themselves, by their hashes
+        known = [w[2:] for w in index if w.startswith("w=")]
+        forms = sorted({w + m for w in known if w for m in ["", *_MARKS.decode()]})
+        self.cues = wordhash.word_hashes(np.frombuffer(" ".join(forms).encode(), np.uint8), False)[0] if forms else np.empty(0, np.uint64)
 
-    def _word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> np.ndarray:
         """3 x tags: what the word adds to its own place, to its right neighbour's and to its left neighbour's."""
-        got = self._known.get(word)
-        if got is None:
-            if len(self._known) >= 200_000:
-                self._known.clear()
-            rows = [self.index[f] for f in word_features(word) if f in self.index]
-            got = self._known[word] = self.weights[rows].sum(axis=0) if rows else np.zeros(self.weights.shape[1:])
-        return got
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        each = np.stack([self._word(w) for w in words])
-        out = each[:, 0].copy()
-        out[1:] += each[:-1, 1]
-        out[:-1] += each[1:, 2]
-        return out
-
-    def decode(self, chains: list[list[str]], batch: int = 512) -> list[np.ndarray]:
-        """The best tags of each chain, by Viterbi over batches of chains of like length."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
-        for at in range(0, len(order), batch):
-            own = [i for i in order[at : at + batch] if chains[i]]
-            if not own:
-                continue
-            sizes = np.array([len(chains[i]) for i in own])
-            longest = int(sizes.max())
-            emit = np.zeros((len(own), longest, len(self.tags)))
-            for r, i in enumerate(own):
-                emit[r, : sizes[r]] = self.scores(chains[i])
-            back = np.zeros((len(own), longest, len(self.tags)), np.int8)
-            state = emit[:, 0] + self.moves[-1]
-            ends = np.where((sizes == 1)[:, None], state, 0)
-            for t in range(1, longest):
-                step = state[:, :, None] + self.moves[:-1][None]
-                back[:, t] = step.argmax(axis=1)
-                state = step.max(axis=1) + emit[:, t]
-                done = sizes == t + 1
-                ends[done] = state[done]
-            tag = ends.argmax(axis=1)
-            best = np.zeros((len(own), longest), np.int64)
-            best[np.arange(len(own)), sizes - 1] = tag
-            for t in range(longest - 1, 0, -1):
-                inside = t <= sizes - 1
-                tag = np.where(inside, back[np.arange(len(own)), t, tag], tag)
-                best[inside, t - 1] = tag[inside]
-            for r, i in enumerate(own):
-                out[i] = best[r, : sizes[r]]
+        rows = [self.index[f] for f in word_features(word) if f in self.index]
+        return self.weights[rows].sum(axis=0) if rows else np.zeros(self.weights.shape[1:], np.float32)
+
+    def decode(self, table: np.ndarray, row: np.ndarray, fresh: np.ndarray, first: np.ndarray, size: np.ndarray, take: np.ndarray, until: np.ndarray, runs: Iterator[tuple[int, int, str]], again: np.ndarray) -> np.ndarray:
+        """The best tag of each word. ``table``: word scores, ``row``: the table's row of each word, ``fresh``: the words that begin
+        a line, ``again``: those that are the word before. Chains of ``size`` words from ``first`` on are decoded by Viterbi; words take..until-1 get their tags from them."""
+        extra = np.zeros(len(row), np.int64)
+        more = [np.zeros(len(self.tags), np.float32)]
+        for a, b, feature in runs:
+            if feature in self.index:
+                more.append(self.weights[self.index[feature], 0])
+                extra[a:b] = len(more) - 1
+        repeat = self.weights[self.index[AGAIN], 0] if AGAIN in self.index else more[0]
+        out = np.zeros(len(row), np.int8)
+        begins = np.append(fresh, True)
+        group = np.cumsum(size) // CELLS
+        for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.flatnonzero(np.diff(group, prepend=-1, append=-1)))):
+            a, b = int(first[lo]), int((first[lo:hi] + size[lo:hi]).max())
+            own = row[a:b]
+            emit = table[own, 0] + np.stack(more)[extra[a:b]]
+            emit[again[a:b]] += repeat
+            emit[:, 0] += CAUTION
+            emit[1:] += table[own[:-1], 1] * ~begins[a + 1 : b, None]
+            emit[:-1] += table[own[1:], 2] * ~begins[a + 1 : b, None]
+            order = lo + np.argsort(-size[lo:hi], kind="stable")
+            self._viterbi(emit, first[order] - a, size[order], take[order] - a, until[order] - a, out[a:b])
         return out
 
-
-def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def train(sentences: list[list[str]], labels: list[list[str]], tags: tuple[str, ...], epochs: int = 60, rate: float = 0.2, ridge: float = 2e-3) -> Model:
+    def _viterbi(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray, take: np.ndarray, until: np.ndarray, out: np.ndarray) -> None:
+        """``out`` at the words of the chains; chains by falling size, so that those still going on are the first ones."""
+        k, longest = len(self.tags), int(size[0])
+        going = np.searchsorted(-size, -np.arange(longest), side="left")  # chains longer than t
+        state = emit[first] + self.moves[-1]
+        back = []
+        for t in range(1, longest):
+            m = int(going[t])
+            best = state[:m, :1] + self.moves[0]
+            came = np.zeros((m, k), np.int8)
+            for s in range(1, k):
+                now = state[:m, s : s + 1] + self.moves[s]
+                better = now > best
+                came[better] = s
+                np.maximum(best, now, out=best)
+            back.append(came)
+            state[:m] = best + emit[first[:m] + t]
+        tag = state.argmax(axis=1)
+        for t in range(longest - 1, -1, -1):
+            m = int(going[t])
+            at = first[:m] + t
+            mine = (at >= take[:m]) & (at < until[:m])
+            out[at[mine]] = tag[:m][mine]
+            if t:
+                tag[:m] = back[t - 1][np.arange(m), tag[:m]]
+
+
+def train(sentences: list[list[str]], labels: list[list[str]], tags: tuple[str, ...], epochs: int = 80, rate: float = 0.2, ridge: float = 2e-4) -> Model:
     """Maximum conditional likelihood by forward-backward over all sentences at once and Adam steps; the same on every run.
 
-    Tags of the form I-x may only follow B-x or I-x.
+    Tags of the form I-x may only follow B-x or I-x. Words are known by themselves from ``OFTEN`` times on.
     """
-    index: dict[str, int] = {}
     words = [[word_features(w) for w in s] for s in sentences]
-    for s in words:
+    times = Counter(f for s in words for w in s for f in w if f.startswith("w="))
+    words = [[[f for f in w if f[:2] not in ("w=", "z=") or times[f] >= OFTEN] for w in s] for s in words]
+    runs = [run_features(s) for s in sentences]
+    index: dict[str, int] = {}
+    for s in (*words, *runs):
         for w in s:
             for f in w:
                 index.setdefault(f, len(index))
     k, longest = len(tags), max(map(len, sentences))
     sizes = np.array([len(s) for s in sentences])
-    place, feature, side, count = [], [], [], 0
+    place, feature, side = [], [], []
     for i, s in enumerate(words):
         for t, w in enumerate(s):
-            for which, at in ((0, t), (1, t + 1), (2, t - 1)):
+            for which, at, found in ((0, t, w + runs[i][t]), (1, t + 1, w), (2, t - 1, w)):
                 if 0 <= at < len(s):
-                    place += [i * longest + at] * len(w)
-                    feature += [index[f] for f in w]
-                    side += [which] * len(w)
+                    place += [i * longest + at] * len(found)
+                    feature += [index[f] for f in found]
+                    side += [which] * len(found)
     place_, row = np.array(place), np.array(feature) * 3 + np.array(side)
     gold = np.zeros((len(sentences), longest), np.int64)
     for i, s in enumerate(labels):
@@ -135,33 +224,29 @@ def train(sentences: list[list[str]], labels: list[list[str]], tags: tuple[str,
     for i in range(len(sentences)):
         pairs[k, gold[i, 0]] += 1
         np.add.at(pairs, (gold[i, : sizes[i] - 1], gold[i, 1 : sizes[i]]), 1)
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    m2, v2 = np.zeros_like(moves), np.zeros_like(moves)
+    moments = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
     n = len(sentences)
     for epoch in range(1, epochs + 1):
-        emit = np.zeros((n * longest, k))
-        for j in range(k):
-            emit[:, j] = np.bincount(place_, weights[row, j], n * longest)
-        emit = emit.reshape(n, longest, k)
-        go = np.where(barred, -1e4, moves)
-        alpha, beta = np.zeros((n, longest, k)), np.zeros((n, longest, k))
-        alpha[:, 0] = emit[:, 0] + go[k]
-        for t in range(1, longest):
-            alpha[:, t] = emit[:, t] + _sum_exp(alpha[:, t - 1][:, :, None] + go[:k], 1)
+        emit = np.stack([np.bincount(place_, weights[row, j], n * longest) for j in range(k)], axis=1).reshape(n, longest, k)
+        e = np.exp(emit - emit.max(axis=2, keepdims=True))
+        go = np.where(barred, 0.0, np.exp(moves))
+        alpha, beta, scale = np.zeros((n, longest, k)), np.ones((n, longest, k)), np.ones((n, longest, 1))
+        for t in range(longest):
+            a = (alpha[:, t - 1] @ go[:k] if t else go[k]) * e[:, t]
+            scale[:, t] = np.maximum(a.sum(axis=1, keepdims=True), 1e-300)
+            alpha[:, t] = a / scale[:, t]
         for t in range(longest - 2, -1, -1):
-            ahead = _sum_exp(go[:k][None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where((t + 1 < sizes)[:, None], ahead, 0.0)
-        total = _sum_exp(alpha[np.arange(n), sizes - 1], 1)
-        chance = np.exp(alpha + beta - total[:, None, None]) * real[:, :, None]
+            ahead = (e[:, t + 1] * beta[:, t + 1]) @ go[:k].T / scale[:, t + 1]
+            beta[:, t] = np.where((t + 1 < sizes)[:, None], ahead, 1.0)
+        chance = alpha * beta * real[:, :, None]
         expected = np.zeros((k + 1, k))
         expected[k] = chance[:, 0].sum(axis=0)
         for t in range(1, longest):
-            joint = alpha[:, t - 1][:, :, None] + go[:k] + (emit[:, t] + beta[:, t])[:, None, :] - total[:, None, None]
-            expected[:k] += (np.exp(joint) * (t < sizes)[:, None, None]).sum(axis=0)
+            expected[:k] += go[:k] * (alpha[:, t - 1].T @ (e[:, t] * beta[:, t] / scale[:, t] * (t < sizes)[:, None]))
         missing = (truth - chance).reshape(-1, k)
         up = np.stack([np.bincount(row, missing[place_, j], len(weights)) for j in range(k)], axis=1) / n - ridge * weights
         up2 = np.where(barred, 0.0, (pairs - expected) / n - ridge * moves)
-        for value, first, second, g in ((weights, m, v, up), (moves, m2, v2, up2)):
+        for value, first, second, g in ((weights, *moments[:2], up), (moves, *moments[2:], up2)):
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
             value += rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-8)

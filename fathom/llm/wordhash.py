@@ -38,11 +38,16 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte behind the last) of each word. ``data``: bytes, in which texts are kept apart by a space."""
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word. ``data``: bytes, in which texts are kept apart by a space."""
+    """(hash, first byte) of each word. ``data``: as for ``edges``."""
     space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
+    start, end = edges(data)
     if not len(start):
         return np.empty(0, np.uint64), start
     if lower:
@@ -58,8 +63,8 @@ def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(terms, start) + size.astype(np.uint64)), start
 
 
-def chunks(texts: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, word hashes, bounds): the words of text first+k are hashes[bounds[k]:bounds[k+1]]. Null texts have none."""
+def parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, bounds): text first+k lies in bytes[bounds[k]:bounds[k+1] - 1], a space behind it. Null texts are empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -72,11 +77,17 @@ def chunks(texts: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, np.n
         keep = np.ones(len(data), bool)
         keep[own[1:] + np.arange(n)] = False  # a space after each text
         data[keep] = raw[offsets[first] : offsets[last]]
-        hashes, start = word_hashes(data, lower)
-        yield first, hashes, np.searchsorted(start, own + np.arange(n + 1))
+        yield first, data, own + np.arange(n + 1)
         first = last
 
 
+def chunks(texts: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, bounds): the words of text first+k are hashes[bounds[k]:bounds[k+1]]. Null texts have none."""
+    for first, data, at in parts(texts):
+        hashes, start = word_hashes(data, lower)
+        yield first, hashes, np.searchsorted(start, at)
+
+
 def double(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hashes of the concatenations of two adjacent windows."""
     return mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
