@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 
 
-def looked_up(rows: DataFrame, known: DataFrame, on: list[str], count: str) -> DataFrame:
-    """``rows`` with what ``known`` says about their keys (inner join). Both are stored tables; ``known`` has each key once and,
+def looked_up(rows: DataFrame, known: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``known`` says about their keys (an inner or left join). Both are stored tables; ``known`` has each key once and,
     in ``count``, how many of ``rows`` have it. Rows with a heavy key stay where they are, so no key gathers in one task."""
     total = known.agg(F.sum(count)).first()[0] or 0
     heavy = known.where(F.col(count) * HEAVY > total)  # counts add up to the total, so there are fewer than HEAVY
     light = known.where(F.col(count) * HEAVY <= total)
     there = rows.join(F.broadcast(heavy), on)
-    return there.unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on))
+    return there.unionByName(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how))

@@ -2,8 +2,10 @@
 
 The trees are trained from labelled URLs, here those that a rule decides. Features: lengths, depth,
 digit ratio, character entropy, parameter counts, and how often labelled URLs of the same suffix are
-blocked (counted over all of them, smoothed). All features are column expressions; scoring runs in the
-JVM. Training uses at most ``MAX_TRAIN`` labelled URLs, those with the least hashes.
+blocked (counted over all of them, smoothed, and for a labelled URL without those of its own fold, so that no
+label shows in its own features). All features are column expressions; scoring runs in the JVM. Training uses at
+most ``MAX_TRAIN`` labelled URLs, those with the least hashes. ``held_out`` measures the trees on suffixes whose
+labels they never saw.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule and is
 judged by its features; repeated rows are judged each for itself; without labelled URLs of both kinds
@@ -20,12 +22,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import scratch
+from fathom.llm import scratch, skew
 
 #: (host, path, verdict) in the form the query's contract gives them.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MAX_TRAIN = 20_000
 SMOOTHING = 20.0
+FOLDS = 5
 FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "has_fragment", "is_https", "suffix_rate", "host_suffix_rate")
 
 
@@ -76,35 +79,60 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def suffix_rates(labelled: DataFrame, column: str, prior: float) -> DataFrame:
-    """The smoothed share of blocked URLs by suffix."""
-    rate = (F.sum("label") + F.lit(SMOOTHING * prior)) / (F.count("*") + F.lit(SMOOTHING))
-    return labelled.groupBy(F.col(column).alias("_s")).agg(rate.alias(f"{column}_rate"))
+def suffix_rates(urls: DataFrame, column: str) -> DataFrame:
+    """By suffix: how many rows have it (n), and by fold how many labelled ones (all) and blocked ones (bad)."""
+    folds = [F.struct(F.sum(F.when(F.col("fold") == f, F.col("label"))).alias("bad"), F.count(F.when(F.col("fold") == f, F.col("label"))).alias("all")) for f in range(FOLDS)]
+    return urls.groupBy(F.col(column).alias("_s")).agg(F.count("*").alias("n"), F.array(*folds).alias("folds"))
+
+
+def _rate(column: str, prior: float) -> Column:
+    """The smoothed share of blocked URLs of a suffix in ``folds``, for labelled rows without their own fold."""
+    others = F.filter("folds", lambda _, i: F.col("label").isNull() | (i != F.col("fold")))
+
+    def total(field: str) -> Column:
+        return F.aggregate(others, F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0.0)))
+
+    return F.when(F.col("folds").isNull(), F.lit(prior)).otherwise((total("bad") + SMOOTHING * prior) / (total("all") + SMOOTHING)).alias(f"{column}_rate")
 
 
 def score(urls: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Add ``blocked``, the trees' probability. ``urls``: as from ``lexical``, with the rules' verdicts as labels."""
-    labelled = urls.where("verdict IS NOT NULL").withColumn("label", (F.col("verdict") == "block").cast("double"))
-    n, positive = labelled.agg(F.count("*"), F.sum("label")).first()
+    """Add ``blocked``, the trees' probability. ``urls``: stored, as from ``lexical``, with label (1 blocked, 0 allowed, null unknown)."""
+    n, positive = urls.agg(F.count("label"), F.sum("label")).first()
     if not n or not 0 < positive < n:
         return urls.withColumns({c: F.lit(0.0) for c in ("blocked", "suffix_rate", "host_suffix_rate")})
-    rated = urls
+    rated = urls.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
     for column in ("suffix", "host_suffix"):
-        rates = suffix_rates(labelled, column, positive / n)
-        rated = rated.join(rates, F.col(column) == F.col("_s"), "left").drop("_s").fillna(positive / n, [f"{column}_rate"])
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated)
+        rates = scratch.table(suffix_rates(rated, column), f"{column}-rates")
+        rated = rated.withColumn("_s", F.col(column))
+        rated = skew.looked_up(rated, rates, ["_s"], "n", "left").select(*[c for c in rated.columns if c != "_s"], _rate(column, positive / n))
+    ready = scratch.table(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated), "url-features")
     # a bounded sample by hash, the same on every run
-    train = ready.where("verdict IS NOT NULL").withColumn("label", (F.col("verdict") == "block").cast("double"))
-    sample = scratch.table(train.select("features", "label", F.xxhash64("url").alias("_h")).orderBy("_h").limit(max_train).select("features", "label"), "url-sample")
+    train = ready.where("label IS NOT NULL").select("features", "label", F.xxhash64("url", F.lit(1)).alias("_h"))
+    sample = scratch.table(train.orderBy("_h").limit(max_train).select("features", "label"), "url-sample")
     model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, cacheNodeIds=False).fit(sample.coalesce(2))
     scored = model.transform(ready)
-    return scored.withColumn("blocked", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("blocked", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "fold")
+
+
+def _prepared(pages: DataFrame, id_column: str, url_column: str, rules) -> DataFrame:
+    urls = lexical(with_rule(parts(pages, id_column, url_column), rules))
+    label = F.when(F.col("verdict").isNotNull(), (F.col("verdict") == "block").cast("double"))
+    return scratch.table(urls.withColumn("label", label), "urls")
+
+
+def held_out(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, threshold: float = 0.5, every: int = 4) -> DataFrame:
+    """One row: how many labelled URLs are of suffixes held out (one in ``every``, by hash), how many of them the trees, trained on
+    the others, judge as their label says, and how many the more common label would."""
+    urls = _prepared(pages, id_column, url_column, rules).withColumn("truth", F.col("label"))
+    hidden = F.pmod(F.xxhash64("host_suffix"), F.lit(every)) == 0
+    scored = score(urls.withColumn("label", F.when(~hidden, F.col("label")))).where(hidden & F.col("truth").isNotNull())
+    right = ((F.col("blocked") > threshold).cast("double") == F.col("truth")).cast("long")
+    return scored.agg(F.count("*").alias("n"), F.sum(right).alias("n_right"), F.greatest(F.sum("truth"), F.sum(1 - F.col("truth"))).cast("long").alias("n_common"))
 
 
 def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, and the trees' score and features."""
-    urls = scratch.table(lexical(with_rule(parts(pages, id_column, url_column), rules)), "urls")
-    scored = score(urls)
+    scored = score(_prepared(pages, id_column, url_column, rules))
     method = F.when(F.col("blocked") > threshold, "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce("verdict", method)).select("page_id", "host", "path", "rule", "verdict", "blocked", *FEATURES)
 
