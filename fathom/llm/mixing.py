@@ -1,10 +1,11 @@
 """Mixing sources to target weights by drawing fixed-length blocks.
 
 A source's documents, in a fixed order, form one stream of words cut into blocks. Targets follow the
-weights, capped at ``max_repeats`` times a source's size with the excess reshared (water filling). The
-draws of a source are spread over the output shards by a multinomial, so that each shard holds a
-random number of its blocks while the totals hold. The k-th slot of a source takes block
-``perm(k mod blocks)``, where ``perm`` is a keyed pseudorandom permutation of the block indices
+weights, capped at ``max_repeats`` times a source's size with the excess reshared (water filling). Every
+output shard has ``SHARD_BLOCKS`` slots (the last one what is left) and draws its sources by a multinomial
+with the targets' shares, seeded by its number. Drawn totals miss the targets by chance; so slots of a source
+beyond its total, in the order of shards, go to sources that are short of theirs. The k-th slot of a source takes
+block ``perm(k mod blocks)``, where ``perm`` is a keyed pseudorandom permutation of the block indices
 (Feistel rounds with cycle walking): no block is used twice before every other one is used once, and
 nothing is shuffled to draw. Slots and blocks meet in a join on (source, block).
 
@@ -13,7 +14,7 @@ Rows are told apart by ``rid``, a key of id, text and source, and ``nth``, the p
 Defined results: null text has size 0; the null source is a source of its own, last in order; an
 empty table gives an empty mix; repeated rows are separate documents, each with its own place in the
 stream, as are rows with a null id or with one id and different texts; other columns are ignored.
-Only sums by source reach the driver, one row a source.
+Only sums by source reach the driver, one row a source, and of sources there may be ``MAX_SOURCES``.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ BLOCK = 128
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
-SHARD_BLOCKS = 65_536
-MIN_SHARDS = 64
-CHUNK_ROWS = 100_000
+SHARD_BLOCKS = 8192
+#: Documents of a source that are numbered together.
+CHUNK_ROWS = 4096
+MAX_SOURCES = 100_000
 SEED = 20240607
 
 
@@ -90,7 +92,9 @@ def streams(sizes: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = W
     Places are prefix sums in two steps, within chunks and over chunks, so that a large source is not numbered by one task.
     """
     spark = sizes.sparkSession
-    stats = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
+    stats = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()  # one row a source
+    if len(stats) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: mix by a coarser column")
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     each = [r["size"] for r in stats]
     wanted = targets(each, [weights[i % len(weights)] for i in range(len(stats))], share)
@@ -98,13 +102,12 @@ def streams(sizes: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = W
     for i, r in enumerate(stats):
         blocks = -(-r["size"] // block)
         draws = min(MAX_REPEATS * blocks, round(wanted[i] / r["size"] * blocks)) if r["size"] else 0
-        rows.append((i, r["source"], r["size"], wanted[i], blocks, draws, zlib.crc32(repr(r["source"]).encode())))
-    sources = spark.createDataFrame(rows, "sid long, source string, source_size long, target double, blocks long, draws long, key long")
-    chunks = max(1, sum(r["n"] for r in stats) // CHUNK_ROWS)
+        rows.append((i, r["source"], r["size"], wanted[i], blocks, draws, zlib.crc32(repr(r["source"]).encode()), -(-r["n"] // CHUNK_ROWS)))
+    sources = spark.createDataFrame(rows, "sid long, source string, source_size long, target double, blocks long, draws long, key long, chunks long")
     keyed = (
         sizes.withColumnRenamed("source", "_s")
-        .join(sources.select("sid", "source", "source_size", "target"), F.col("_s").eqNullSafe(F.col("source")))
-        .withColumn("_chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.col("rid")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)))
+        .join(sources.select("sid", "source", "source_size", "target", "chunks"), F.col("_s").eqNullSafe(F.col("source")))
+        .withColumn("_chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.col("rid")).otherwise(F.xxhash64("doc_id")), F.col("chunks")))
     )
     sums = keyed.groupBy("sid", "_chunk").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("_chunk")) - F.col("n")
@@ -119,28 +122,51 @@ def streams(sizes: DataFrame, block: int = BLOCK, weights: tuple[float, ...] = W
     return placed, sources
 
 
-def slots(sources: DataFrame, total_draws: int, seed: int = SEED) -> DataFrame:
-    """The mix: one row for each slot of each shard with the block that fills it."""
-    shards = max(MIN_SHARDS, -(-total_draws // SHARD_BLOCKS))
+def drawn(seed: int, shard: int, size: int, share: np.ndarray) -> np.ndarray:
+    """How many slots of a shard each source gets."""
+    return np.random.default_rng([seed, shard]).multinomial(size, share)
+
+
+def slots(sources: DataFrame, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """The mix: one row for each slot of each shard: sid, shard, slot (the number among the source's), block (that fills it)."""
+    spark = sources.sparkSession
+    known = [r.asDict() for r in sources.select("sid", "blocks", "draws", "key").where("draws > 0").orderBy("sid").collect()]  # one row a source
+    want = np.array([r["draws"] for r in known], np.int64)
+    total = int(want.sum())
+    shards = -(-total // shard_blocks)
+    share = want / max(1, total)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                counts = np.random.default_rng([seed, r["key"]]).multinomial(r["draws"], np.full(shards, 1 / shards))
-                first = np.cumsum(counts) - counts
-                own = np.flatnonzero(counts)
-                same = [pa.array(np.full(len(own), r[c], np.int64)) for c in ("sid", "blocks", "key")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(own), pa.array(first[own]), pa.array(counts[own])], ["sid", "blocks", "key", "shard", "first", "n"])
+            for shard in batch.column(0).to_pylist():
+                n = drawn(seed, shard, min(shard_blocks, total - shard * shard_blocks), share)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(some), pa.array(n[some])], ["shard", "k", "n"])
+
+    dealt = scratch.table(spark.range(shards).mapInArrow(deal, "shard long, k long, n long"), "draws")
+    got = np.zeros(len(known), np.int64)
+    for r in dealt.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row a source
+        got[r["k"]] = r["n"]
+    over, short = np.cumsum(np.maximum(0, got - want)), np.cumsum(np.maximum(0, want - got))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("shard")) - F.col("n")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                k = np.arange(r["first"], r["first"] + r["n"], dtype=np.int64)
-                at = permuted(k % r["blocks"], r["blocks"], r["key"] ^ seed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r["sid"])), pa.array(np.full(len(k), r["shard"])), pa.array(k), pa.array(at)], ["sid", "shard", "slot", "block"])
-
-    dealt = sources.where("draws > 0").mapInArrow(deal, "sid long, blocks long, key long, shard long, first long, n long")
-    return dealt.repartition("sid", "shard").mapInArrow(fill, "sid long, shard long, slot long, block long")
+                own, slot = np.full(r["n"], r["k"]), np.arange(r["first"], r["first"] + r["n"], dtype=np.int64)
+                late = slot >= want[r["k"]]
+                if late.any():
+                    # the surplus slots of all sources, numbered on, take the places that are missing elsewhere
+                    place = slot[late] - want[r["k"]] + (over[r["k"]] - max(0, got[r["k"]] - want[r["k"]]))
+                    own[late] = np.searchsorted(short, place, side="right")
+                    slot[late] = want[own[late]] - short[own[late]] + place
+                for k in np.unique(own).tolist():
+                    mine = slot[own == k]
+                    at = permuted(mine % known[k]["blocks"], known[k]["blocks"], known[k]["key"] ^ seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), known[k]["sid"])), pa.array(np.full(len(mine), r["shard"])), pa.array(mine), pa.array(at)], ["sid", "shard", "slot", "block"])
+
+    # an explicit number: a shard's rows are few here and many when filled
+    return dealt.withColumn("first", before).repartition(max(1, shards), "shard").mapInArrow(fill, "sid long, shard long, slot long, block long")
 
 
 def blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -154,8 +180,7 @@ def blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def used_parts(placed: DataFrame, sources: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """Document parts the mix takes, with how often (``uses``)."""
-    total = sources.agg(F.sum("draws")).first()[0] or 0
-    uses = slots(sources, total, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    uses = slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     return blocks(placed, block).join(uses, ["sid", "block"])
 
 
@@ -178,14 +203,17 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
 
     copies = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["uses"])).cast("int")))
     # rows that share a rid are dealt their places one by one; those without a word have none
-    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text", "source") and "map<" not in kind]
+    at = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    others = [F.col(at[c]) for c, kind in docs.dtypes if c not in ("doc_id", "text", "source") and "map<" not in kind]
     each = Window.partitionBy("_rid").orderBy(F.xxhash64("_rid", *others))
-    worded = docs.where(F.col("text").rlike(texts.WORD)).withColumn("_rid", _rid()).withColumn("_nth", F.row_number().over(each) - 1)
+    named = docs.where(F.col("text").rlike(texts.WORD)).select(_rid().alias("_rid"), *[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    worded = named.withColumn("_nth", F.row_number().over(each) - 1)
     own = F.filter("_all", lambda s: s["nth"] == F.col("_nth"))
-    rows = worded.join(spans, "_rid").withColumn("_spans", own).withColumn("_n", copies).withColumn("text", cut(F.col("text"), F.col("_n")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    text = at["text"]
+    rows = worded.join(spans, "_rid").withColumn("_spans", own).withColumn("_n", copies).withColumn(text, cut(F.col(text), F.col("_n")))
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*at.values()).toDF(*docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -373,3 +373,75 @@ def test_same_as_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     df = registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
+
+
+def test_mixing_replayed(spark):
+    """Multinomial, exchange of surplus slots, permutation and block join, step by step without Spark."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 90))), "en", rng.choice("aaaaaabbc"), 0) for i in range(120)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", _spans string, _n int")
+    sizes = mixing.sized(df)
+    placed, sources = mixing.streams(sizes, block=8)
+    shard_blocks = 100
+    known = sorted((r.asDict() for r in sources.collect()), key=lambda r: r["sid"])
+    want = np.array([r["draws"] for r in known])
+    total = int(want.sum())
+    counts = np.stack([mixing.drawn(mixing.SEED, j, min(shard_blocks, total - j * shard_blocks), want / total) for j in range(-(-total // shard_blocks))])
+    assert (counts.sum(axis=1)[:-1] == shard_blocks).all() and (counts.sum(axis=0) != want).any()
+    expected = Counter()
+    for r in known:
+        for k in range(r["draws"]):
+            expected[r["sid"], int(mixing.permuted(np.array([k % r["blocks"]]), r["blocks"], r["key"] ^ mixing.SEED)[0])] += 1
+    got = mixing.slots(sources, shard_blocks=shard_blocks).collect()
+    assert Counter((r["sid"], r["block"]) for r in got) == expected and len({(r["sid"], r["slot"]) for r in got}) == total
+    by = Counter(r["shard"] for r in got)
+    assert all(by[j] == n for j, n in enumerate(counts.sum(axis=1)))
+    mixed = mixing.mixed(df, block=8)
+    assert mixed.columns == df.columns and {r["_spans"] for r in mixed.collect()} == {"x"}
+
+
+def test_minhash_recall_near_the_limit(spark):
+    """Pairs of a similarity of 0.75 to 0.8: nearly all share a band."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    for i in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        other = w + [f"x{rng.randrange(10**6)}" for _ in range(43)]
+        a, b = shingles(" ".join(w)), shingles(" ".join(other))
+        assert 0.75 <= len(a & b) / len(a | b) <= 0.8
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    found = [r for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r["kept"]]
+    assert len(found) >= 0.98 * 150 and all(r["component_id"] == r["doc_id"] - 1 for r in found)
+
+
+def test_urls_repeated_long_and_clashing(spark):
+    pages = [(1, "https://a.org/" + "x" * 200_000, 1.0, "r"), (2, "https://a.net/?q=1&r=2", 2.0, "s"), (2, "https://a.net/?q=1&r=2", 2.0, "s"), (3, "http://b.com/de/x", 0.0, "t"), (None, None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, blocked double, rule string")
+    rows = urls.judge(df).collect()
+    assert len(rows) == 5 and len({tuple(r) for r in rows if r["page_id"] == 2}) == 1
+    assert [r["rule"] for r in rows if r["page_id"] == 1] == ["org/"] and urls.held_out(df).first()["n"] >= 0
+
+
+def test_arc_versions_and_damage(spark, tmp_path):
+    import io
+
+    from fathom.llm import warc
+
+    for version in (1, 2):
+        good = [warc.arc_record(f"http://x.org/{i} a", "1.2.3.4", "20010203040506", "text/html", b"<p>%d</p>" % i, version) for i in range(3)]
+        data = warc.arc_preamble("n", version) + good[0] + b"no header line\nneither this\n" + good[1] + good[2]
+        damage = warc.Damage()
+        got = list(warc.read_arc(io.BytesIO(data), damage))
+        assert [b for _, b in got] == [b"<p>0</p>", b"<p>1</p>", b"<p>2</p>"] and damage.n == 1 and got[0][0]["url"] == "http://x.org/0 a" and got[0][0]["date"] == "20010203040506"
+        with pytest.raises(ValueError):
+            list(warc.read_arc(io.BytesIO(data)))
+        damage = warc.Damage()
+        assert len(list(warc.read_arc(io.BytesIO(data[:-4]), damage))) == 2 and damage.n == 2
+        pages = spark.createDataFrame([(1, "http://a/b c", "x"), (2, None, "x"), (3, "http://é", None)], "page_id long, url string, html string")
+        folder = f"file://{tmp_path}/v{version}"
+        files = warc.archive(pages, folder, version)
+        rows = {r["page_id"]: r for r in warc.read_archives(files, f"{folder}/warc").collect()}
+        assert rows[1]["record_type"] == "revisit" and rows[1]["refers_to"] == 2 and rows[1]["url"] == "http://a/b%20c" and sum(r["damaged"] for r in files.collect()) == 0
+        arcs = spark.createDataFrame([(p.name,) for p in (tmp_path / f"v{version}" / "arc").iterdir() if p.suffix == ".gz"], "file string")
+        assert sorted(r["bytes"] for r in warc.index_archives(arcs, f"{folder}/arc").collect()) == [0, 1, 1]
+    assert warc.read_archives(warc.archive(pages.limit(0), f"file://{tmp_path}/none"), f"file://{tmp_path}/none/warc").count() == 0
