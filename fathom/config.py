@@ -55,12 +55,20 @@ class ModelSettings(BaseModel):
         return value
 
 
+class TrainingSettings(BaseModel):
+    num_epochs: int = Field(10, ge=1)
+    batch_size: int = Field(128, ge=1)
+    early_stop_patience: int = Field(3, ge=1)
+
+
 class Settings(BaseModel):
     data: DataSettings = DataSettings()
     timeseries: TimeSeriesSettings = TimeSeriesSettings()
     model: ModelSettings = ModelSettings()
+    training: TrainingSettings = TrainingSettings()
     output_dir: str = "output"
     seed: int = 42
+    log_level: Literal["DEBUG", "INFO", "WARNING", "ERROR"] = "WARNING"
 
     @classmethod
     def from_yaml(cls, path: str | Path) -> Settings:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,14 +75,58 @@ def _plus(a, b):
     return a + b
 
 
-def create(name: str, **options):
+def train_ridge(windows: DataFrame, n_out: int, penalty: float = 1.0, epochs: int = 10, patience: int = 3, by: str = "bins") -> tuple[DataFrame, list[tuple]]:
+    """(the best weights, history rows: epoch, penalty, train_mse, val_mse, best).
+
+    Each epoch fits by cluster with a third of the penalty before, from 100 times the given one on, and is judged on the test
+    windows; after ``patience`` epochs without a better one it ends.
+    """
+    best, rows, chosen, waited = float("inf"), [], None, 0
+    for epoch in range(1, epochs + 1):
+        now = 100 * penalty / 3 ** (epoch - 1)
+        model = fit_ridge(windows, now, by).persist()
+        error = F.expr("aggregate(zip_with(y, yhat, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x) / size(y)")
+        found = {r["split"]: r["mse"] for r in predict_ridge(windows, model, n_out, by).groupBy("split").agg(F.avg(error).alias("mse")).collect()}
+        value = found.get("test", found.get("train", 0.0))
+        better = value < best
+        rows.append((epoch, float(now), found.get("train"), found.get("test"), better))
+        if better:
+            best, chosen, waited = value, model, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return chosen, rows
+
+
+Forecaster = Callable[[DataFrame], DataFrame]
+_known: dict[str, Callable[..., Forecaster]] = {}
+
+
+def register(name: str, make: Callable[..., Forecaster]) -> None:
+    """Have ``create`` know a model: ``make(**options)`` gives a function windows -> windows with yhat."""
+    _known[name] = make
+
+
+def create(name: str, **options) -> Forecaster:
     """A function windows -> windows with yhat."""
-    n_out = options.get("n_out", 4)
-    if name == "seasonal_naive":
-        return lambda w: seasonal_naive(w, n_out, options.get("season", 4))
-    if name == "ridge":
-        return lambda w: predict_ridge(w, fit_ridge(w, options.get("ridge", 1.0)), n_out)
-    raise ModelNotFoundError(f"no model named {name!r}")
+    if name not in _known:
+        raise ModelNotFoundError(f"no model named {name!r}; known: {', '.join(sorted(_known))}")
+    return _known[name](**options)
+
+
+def _make_ridge(n_out: int = 4, ridge: float = 1.0, weights: DataFrame | None = None, **_) -> Forecaster:
+    return lambda w: predict_ridge(w, fit_ridge(w, ridge) if weights is None else weights, n_out)
+
+
+def _make_mean(n_out: int = 4, **_) -> Forecaster:
+    mean = F.aggregate("x_qty", F.lit(0.0), lambda a, x: a + x) / F.size("x_qty")
+    return lambda w: w.withColumn("yhat", F.array_repeat(mean, n_out))
+
+
+register("ridge", _make_ridge)
+register("seasonal_naive", lambda n_out=4, season=4, **_: lambda w: seasonal_naive(w, n_out, season))
+register("mean", _make_mean)
 
 
-__all__ = ["create", "ensemble", "fit_ridge", "predict_ridge", "seasonal_naive"]
+__all__ = ["create", "ensemble", "fit_ridge", "predict_ridge", "register", "seasonal_naive", "train_ridge"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,8 +22,16 @@ def steps(forecasts: DataFrame, *keep: str) -> DataFrame:
     return forecasts.select(*keep, F.posexplode(F.arrays_zip("y", "yhat")).alias("step", "s")).select(*keep, "step", F.col("s.y").alias("actual"), F.col("s.yhat").alias("prediction"))
 
 
-#: Metric name -> aggregate over actual and prediction. Add to it to have more in ``metrics``.
+_added: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def register(name: str, metric: Callable[[Column, Column], Column]) -> None:
+    """Have ``metrics`` know one more: an aggregate of the columns actual and prediction."""
+    _added[name] = metric
+
+
 def registry() -> dict[str, Column]:
+    """Metric name -> aggregate over actual and prediction."""
     e = _p() - _a()
     mean = F.avg(_a())
     variance = F.var_pop(_a())
@@ -30,7 +39,7 @@ def registry() -> dict[str, Column]:
     return {
         "mse": mse, "rmse": F.sqrt(mse), "mae": F.avg(F.abs(e)), "mape": F.avg(F.when(_a() != 0, F.abs(e / _a()))), "smape": F.avg(2 * F.abs(e) / (F.abs(_a()) + F.abs(_p()) + 1e-8)), "wmape": F.sum(F.abs(e)) / F.sum(F.abs(_a())),
         "msle": F.avg(F.pow(F.log1p(F.greatest(_p(), F.lit(0.0))) - F.log1p(F.greatest(_a(), F.lit(0.0))), 2)), "r2": 1 - mse / variance, "explained_variance": 1 - F.var_pop(_a() - _p()) / variance, "log_cosh": F.avg(F.abs(e) + F.log1p(F.exp(-2 * F.abs(e))) - F.log(F.lit(2.0))),
-        "rse": mse / variance, "pearson": F.corr(_a(), _p()), "concordance": 2 * F.covar_pop(_a(), _p()) / (variance + F.var_pop(_p()) + F.pow(mean - F.avg(_p()), 2)), "nrmse": F.sqrt(mse) / mean, "max_error": F.max(F.abs(e)),
+        "rse": mse / variance, "pearson": F.corr(_a(), _p()), "concordance": 2 * F.covar_pop(_a(), _p()) / (variance + F.var_pop(_p()) + F.pow(mean - F.avg(_p()), 2)), "nrmse": F.sqrt(mse) / mean, "max_error": F.max(F.abs(e)), **{n: f(_a(), _p()) for n, f in _added.items()},
     }
 
 
@@ -81,8 +90,9 @@ def z_value(confidence: float) -> float:
 
 def cluster_intervals(forecasts: DataFrame, confidence: float = 0.95, by: str = "bins") -> DataFrame:
     """Prediction +/- z times the spread of the cluster's predictions (z 1.96 at 0.95, else 1.645), not below 0."""
-    half = (1.96 if confidence == 0.95 else 1.645) * F.stddev_pop("prediction").over(Window.partitionBy(by))
-    return forecasts.withColumn("_half", half).withColumn("lower_bound", F.greatest(F.lit(0.0), _p() - F.col("_half"))).withColumn("upper_bound", _p() + F.col("_half")).drop("_half")
+    half = (1.96 if confidence == 0.95 else 1.645) * F.stddev_pop("prediction")
+    spread = forecasts.groupBy(F.col(by).alias("_by")).agg(half.alias("_half"))  # one row a cluster
+    return forecasts.join(spread, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").withColumn("lower_bound", F.greatest(F.lit(0.0), _p() - F.col("_half"))).withColumn("upper_bound", _p() + F.col("_half")).drop("_half")
 
 
 def residual_intervals(forecasts: DataFrame, confidence: float = 0.95, sample: bool = True) -> DataFrame:
@@ -92,6 +102,14 @@ def residual_intervals(forecasts: DataFrame, confidence: float = 0.95, sample: b
     return forecasts.join(F.broadcast(spread)).withColumn("lower", _p() - z * F.col("_s")).withColumn("upper", _p() + z * F.col("_s")).drop("_s")  # one row
 
 
+def step_intervals(rows: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """``steps`` with bounds at z times the sample deviation of that step's residuals."""
+    spread = rows.groupBy(F.col("step").alias("_st")).agg(F.stddev_samp(_a() - _p()).alias("_s"))  # one row a step
+    z = z_value(confidence)
+    out = rows.join(spread, F.col("step") == F.col("_st"))
+    return out.withColumn("lower", _p() - z * F.col("_s")).withColumn("upper", _p() + z * F.col("_s")).drop("_s", "_st")
+
+
 def quantile_forecasts(forecasts: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """The point forecast plus each quantile of the residuals, as point, q10, q25 ..."""
     found = forecasts.agg(*[F.percentile(_a() - _p(), q).alias(f"q{round(q * 100)}") for q in quantiles])

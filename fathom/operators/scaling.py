@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 TAU = 6.283185307179586
+#: Values of a column that is encoded by position; a vocabulary is one row that all tasks get.
+MAX_VOCABULARY = 10_000
 
 
 def fit_scaler(df: DataFrame, group: str = "bins", quantity: str = "qty") -> DataFrame:
@@ -25,9 +27,9 @@ def scale(df: DataFrame, scaler: DataFrame, group: str = "bins", quantity: str =
 
 def clip_outliers(df: DataFrame, n: float = 3.0, by: str = "sku", quantity: str = "qty") -> DataFrame:
     """Quantities clipped to mean +/- n sample deviations of their sku, and whether they were outside."""
-    w = Window.partitionBy(by)
-    mu, sd = F.avg(quantity).over(w), F.coalesce(F.stddev_samp(quantity).over(w), F.lit(0.0))
-    df = df.withColumn("_mu", mu).withColumn("_sd", sd)
+    # summed before the shuffle: a sku may hold a large share of all rows
+    known = df.groupBy(F.col(by).alias("_by")).agg(F.avg(quantity).alias("_mu"), F.coalesce(F.stddev_samp(quantity), F.lit(0.0)).alias("_sd"))
+    df = df.join(known, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     x, low, high = F.col(quantity), F.col("_mu") - n * F.col("_sd"), F.col("_mu") + n * F.col("_sd")
     clipped = F.when(F.col("_sd") > 0, F.greatest(F.least(x, high), low)).otherwise(x)
     return df.withColumn("clipped", clipped).withColumn("is_outlier", (F.col("_sd") > 0) & ((x > high) | (x < low))).drop("_mu", "_sd")
@@ -39,12 +41,20 @@ def categorical_columns(df: DataFrame, exclude: tuple[str, ...] = ("sku",)) -> l
 
 
 def vocabulary(df: DataFrame, column: str, characters: bool = False) -> DataFrame:
-    """One row: the sorted distinct values of a column, or the characters of its values. Bounded by the column's kind."""
+    """One row: the sorted distinct values of a column, or the characters of its values; more than ``MAX_VOCABULARY`` are an error."""
     value = F.explode(F.split(F.col(column).cast("string"), "")) if characters else F.col(column).cast("string")
-    return df.select(value.alias("v")).where("v <> ''").distinct().agg(F.array_sort(F.collect_list("v")).alias("vocab"))
-
-
-def encode_onehot(df: DataFrame, vocab: DataFrame, column: str) -> DataFrame:
+    known = df.select(value.alias("v")).where("v <> ''").distinct().limit(MAX_VOCABULARY + 1).agg(F.array_sort(F.collect_list("v")).alias("vocab"))
+    too_many = F.raise_error(F.lit(f"{column} has more than {MAX_VOCABULARY} values, too many for an encoding by position")).cast("array<string>")
+    return known.select(F.when(F.size("vocab") > MAX_VOCABULARY, too_many).otherwise(F.col("vocab")).alias("vocab"))
+
+
+def encode_onehot(df: DataFrame, vocab: DataFrame, column: str, strict: bool = False) -> DataFrame:
+    """Zeros for a value that isn't in the vocabulary, or an error if ``strict``."""
+    if strict:
+        value = F.col(column).cast("string")
+        known = F.array_contains("vocab", value)
+        checked = F.when(value.isNull() | known, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"unknown value in {column}: "), value)).cast(df.schema[column].dataType))
+        df = df.join(F.broadcast(vocab)).withColumn(column, checked).drop("vocab")  # one row
     return df.join(F.broadcast(vocab)).withColumn(f"encoded_{column}", F.transform("vocab", lambda v: (v == F.col(column).cast("string")).cast("int"))).drop("vocab")  # one row
 
 
@@ -54,6 +64,16 @@ def encode_multilabel(df: DataFrame, vocab: DataFrame, column: str) -> DataFrame
     return df.join(F.broadcast(vocab)).withColumn(f"encoded_{column}", F.transform("vocab", lambda v: F.array_contains(own, v).cast("int"))).drop("vocab")  # one row
 
 
+def calendar_columns(df: DataFrame) -> list[str]:
+    """The numeric columns whose names tell a sine or cosine."""
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and ("cos" in f.name or "sin" in f.name)]
+
+
+def time_matrix(dates: DataFrame, date: str = "date", shift_days: int = 0) -> DataFrame:
+    """The four calendar features of each date as one array, beside the date; no rows for none."""
+    return dates.select(date, F.array(*time_features(F.col(date), "p", shift_days)).alias("features"))
+
+
 def time_features(date: Column, prefix: str = "p", shift_days: int = 0) -> list[Column]:
     """Sine and cosine of the ISO week (of 53) and the month (of 12), of the date or one some days on."""
     d = F.date_add(date, shift_days)

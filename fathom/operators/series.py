@@ -77,6 +77,19 @@ def metafeatures(series: DataFrame, keys=KEYS, quantity: str = "qty") -> DataFra
     return series.groupBy(*keys).agg(*[c.alias(f"{quantity}__{n}") for n, c in stats.items()])
 
 
+def cached_metafeatures(rows: DataFrame, folder: str, keys=KEYS, quantity: str = "qty") -> DataFrame:
+    """Meta-features read from ``folder`` where they were computed from the same rows before, else computed and written there.
+    The file is named by a fingerprint of keys, periods and quantities."""
+    spark = rows.sparkSession
+    each = F.xxhash64(*keys, "period", quantity)
+    n, x, total = rows.agg(F.count("*"), F.bit_xor(each), F.sum(F.pmod(each, F.lit(1 << 32)))).first()
+    path = f"{folder}/metafeatures-{n}-{(x or 0) & (1 << 64) - 1:016x}-{total or 0:x}.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        metafeatures(rows, keys, quantity).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def minmax(features: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled to 0..1; constant ones are 0. The bounds are one row, joined to all."""
     bounds = features.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])

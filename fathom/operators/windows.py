@@ -36,14 +36,50 @@ def flatten_horizon(steps: Column) -> Column:
 
 def batches(windows: DataFrame, size: int, seed: int | None = None, group: str = "bins", order: tuple[str, ...] = ()) -> DataFrame:
     """batch_no within each group, in the order given or shuffled by a seeded hash; the last batch may be short."""
-    by = [F.xxhash64(*order, F.lit(seed)), *order] if seed is not None else list(order)
-    return windows.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*by)) - 1) / size).cast("int"))
+    if seed is None:
+        chunk, by = [F.col(c) for c in order[:-1]], [F.col(order[-1])]
+    else:
+        mixed = shuffle_key(order, seed)
+        chunk, by = [F.floor(mixed / (SHUFFLE // CHUNKS))], [mixed, *map(F.col, order)]
+    return numbered(windows, (group,), chunk, by).withColumn("batch_no", F.floor(F.col("_rn") / size).cast("int")).drop("_rn")
+
+
+#: Shuffled rows are put in the order of a number below SHUFFLE, numbered in CHUNKS chunks.
+SHUFFLE, CHUNKS = 1 << 20, 4096
+
+
+def shuffle_key(order: tuple[str, ...], seed: int) -> Column:
+    """A pseudorandom number of a row's key: the first bits of its MD5 sum with the seed."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in order], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 5), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, group: tuple[str, ...], chunk: list[Column], by: list[Column]) -> DataFrame:
+    """``rows`` with _rn, from 0 on in the order of ``chunk`` and ``by`` within each group. Numbers are counted within chunks and
+    added up over chunks, so that a group of a third of all rows is no task of its own."""
+    names = [f"_chunk{i}" for i in range(len(chunk))]
+    keyed = rows.withColumns(dict(zip(names, chunk)))
+    sizes = keyed.groupBy(*group, *names).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over((Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*names)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy(*group, *names).orderBy(*by)) - 1
+    sums = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*group, *names))], before.alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*group, *names))]
+    met = keyed.withColumn("_in", inside).join(sums, same)
+    return met.withColumn("_rn", F.col("_in") + F.col("_before")).select(*rows.columns, "_rn")
+
+
+def split_counts(windows: DataFrame, batch: int = 128, group: str = "bins") -> DataFrame:
+    """Windows by group and split, and how many whole batches they make."""
+    return windows.groupBy(group, "split").agg(F.count("*").alias("n"), F.floor(F.count("*") / batch).cast("long").alias("steps_per_epoch"))
 
 
 def round_robin(batched: DataFrame, group: str = "bins") -> DataFrame:
     """Batches of all groups in turns until the last is used up: turn, group, batch_no, n."""
     each = batched.groupBy(group, "batch_no").agg(F.count("*").alias("n"))
-    return each.withColumn("turn", F.row_number().over(Window.orderBy("batch_no", group)) - 1)
+    # before a batch come, of each group, those with a smaller number, and of the groups before its own those with the same
+    groups = each.groupBy(group).agg(F.count("*").alias("c")).agg(F.collect_list(F.struct(F.col(group).alias("g"), "c")).alias("_groups"))  # one row
+    ahead = F.aggregate("_groups", F.lit(0).cast("long"), lambda a, x: a + F.least(x["c"], F.col("batch_no") + (x["g"] < F.col(group)).cast("long")))
+    return each.join(F.broadcast(groups)).withColumn("turn", ahead.cast("int")).drop("_groups")
 
 
 def decompose(series: DataFrame, kernel: int, column: str = "qty", keys=KEYS, order: str = "period") -> DataFrame:

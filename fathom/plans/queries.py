@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.config import Settings
 from fathom.models import forecasters
 from fathom.operators import clusters, evaluation, scaling, series, windows
+from fathom.pipeline import ForecastPipeline
 from fathom.sources import ledger as sources
+from fathom.sources import sinks
 
 WINDOW, N_OUT, SEASON, TEST = 8, 4, 4, 0.2
 LAST = ("color", "category")
@@ -111,7 +116,10 @@ def model_inputs(spark, sf):
 
 
 def predictor_frame(spark, sf):
-    return forecasts(spark, sf).select(*KEY, "prediction", F.greatest(F.lit(0.0), F.col("prediction") - 10).alias("lower"), (F.col("prediction") + 10).alias("upper"), F.lit(0.95).alias("confidence"))
+    """Names, forecasts and bounds from the residuals, as a predictor hands them out."""
+    f = evaluation.residual_intervals(forecasts(spark, sf), 0.95)
+    names = series.sku_names(codes(spark, sf).select("sku_code"), codes(spark, sf))
+    return rounded(f.join(names, "sku_code").select(*KEY, "name", "prediction", F.greatest(F.lit(0.0), F.col("lower")).alias("lower"), "upper", F.lit(0.95).alias("confidence")))
 
 
 def series_keys(spark, sf):
@@ -178,7 +186,7 @@ def chrono_split(spark, sf):
 
 
 def split_counts(spark, sf):
-    return labelled(spark, sf).groupBy("bins", "split").agg(F.count("*").alias("n"))
+    return windows.split_counts(labelled(spark, sf), 128)
 
 
 def flatten_horizon(spark, sf):
@@ -186,7 +194,7 @@ def flatten_horizon(spark, sf):
 
 
 def batches(spark, sf):
-    return windows.batches(labelled(spark, sf).where("split = 'train'"), 128, seed=42, order=KEY).groupBy("bins", "batch_no").agg(F.count("*").alias("n"))
+    return windows.batches(labelled(spark, sf).where("split = 'train'"), 128, seed=42, order=KEY).select(*KEY, "bins", "batch_no")
 
 
 def round_robin_batches(spark, sf):
@@ -202,7 +210,7 @@ def metric_registry(spark, sf):
 
 
 def horizon_metrics(spark, sf):
-    return evaluation.steps(forecasts(spark, sf)).groupBy("step").agg(r(F.avg(F.abs(F.col("actual") - F.col("prediction")))).alias("mae"), r(F.corr("actual", "prediction")).alias("corr"))
+    return evaluation.steps(forecasts(spark, sf)).groupBy("step").agg(r(F.avg(F.abs(F.col("actual") - F.col("prediction")))).alias("mae"), r(F.when(F.count("*") <= 1, 0.0).otherwise(F.corr("actual", "prediction"))).alias("corr"))
 
 
 def quality_panel_metrics(spark, sf):
@@ -272,8 +280,7 @@ def linspace_sample(spark, sf):
     n = f.count()
     k = min(n, 100)
     at = spark.range(k).select(F.floor(F.col("id") * (n - 1) / max(1, k - 1)).alias("rn"))
-    # the chart's order is a global one; only keys and one number travel
-    return f.withColumn("rn", F.row_number().over(Window.orderBy(*KEY)) - 1).join(F.broadcast(at), "rn").select(*KEY, "prediction")
+    return windows.numbered(f, (), [F.col("sku"), F.col("store_id")], [F.col("window_id")]).join(F.broadcast(at), F.col("_rn") == F.col("rn")).select(*KEY, "prediction")  # 100 rows
 
 
 def loss_wmse(spark, sf):
@@ -291,8 +298,13 @@ def loss_huber(spark, sf):
 
 def loss_combined(spark, sf):
     e = F.col("actual") - F.col("prediction")
-    parts = evaluation.steps(forecasts(spark, sf)).agg(
-        F.avg(evaluation.huber(e)).alias("point"), F.avg(sum((evaluation.pinball(e - o, q) for q, o in ((0.1, -5.0), (0.5, 0.0), (0.9, 5.0))), F.lit(0.0)) / 3).alias("quantile"), F.avg(F.pow(F.col("prediction") * 0.1, 2)).alias("decomposition"),
+    # the trend is the window's mean, the season of a step how far its forecast is from the mean of the last season
+    def mean(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+    levels = forecasts(spark, sf).withColumns({"trend": mean(F.col("x_qty")), "level": mean(F.slice("x_qty", WINDOW - SEASON + 1, SEASON))})
+    parts = evaluation.steps(levels, "trend", "level").withColumn("season", F.col("prediction") - F.col("level")).agg(
+        F.avg(evaluation.huber(e)).alias("point"), F.avg(sum((evaluation.pinball(e - o, q) for q, o in ((0.1, -5.0), (0.5, 0.0), (0.9, 5.0))), F.lit(0.0)) / 3).alias("quantile"), F.avg(F.pow(F.col("trend") + F.col("season") - F.col("prediction"), 2)).alias("decomposition"),
     )
     return rounded(parts.withColumn("total", F.col("point") + 0.5 * F.col("quantile") + 0.1 * F.col("decomposition")))
 
@@ -355,7 +367,7 @@ def scan_parquet(spark, sf):
 
 
 def generate_data(spark, sf):
-    return sources.generate_sales(spark, 60, 10, 4).groupBy("product_id", "store_id").agg(F.count("*").alias("n"), F.sum("sales_qty").alias("qty"))
+    return sources.generate_sales(spark).groupBy("product_id", "store_id").agg(F.count("*").alias("n"), F.sum("sales_qty").alias("qty"))
 
 
 def cluster_kmeans(spark, sf):
@@ -363,7 +375,47 @@ def cluster_kmeans(spark, sf):
     names = [c for c in f.columns if c.startswith("qty__")]
     scaled = series.minmax(f, names).persist()
     k, _ = clusters.find_best_k(scaled, names)
-    return clusters.assign(scaled, names, k).select("sku", "store_id", "bins")
+    out = clusters.assign(scaled, names, k).select("sku", "store_id", "bins")
+    scaled.unpersist()
+    return out
+
+
+def scan_csv(spark, sf):
+    """Nations and regions through CSV files and back."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/fathom-csv-{uuid.uuid4().hex[:12]}"
+    source = spark.read.parquet(f"{sf}/nation.parquet")
+    sinks.write_csv(source, path)
+    return sources.scan_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int").where("n_regionkey < 3").select("n_name", "n_regionkey")
+
+
+def sorted_ledger(spark, sf):
+    """Days of the ledger in order, with how much was sold up to each."""
+    days = ledger(spark, sf).groupBy("date").agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
+    return sources.sorted_by_date(days)
+
+
+def time_matrix(spark, sf):
+    m = scaling.time_matrix(weekly(spark, sf).select("period").distinct(), "period")
+    return m.select("period", *[r(F.get("features", i)).alias(f"f{i}") for i in range(4)])
+
+
+def step_intervals(spark, sf):
+    steps = evaluation.steps(forecasts(spark, sf), *KEY)
+    return rounded(evaluation.step_intervals(steps, 0.9).select(*KEY, "step", "prediction", "lower", "upper"))
+
+
+def pipeline_forecasts(spark, sf):
+    """The whole forecast pipeline over the ledger: clusters by KMeans, scaled windows, a ridge regression by cluster."""
+    settings = Settings.of({"timeseries": {"window": WINDOW, "n_out": N_OUT, "test_size": TEST}, "training": {"num_epochs": 3}})
+    done = ForecastPipeline(spark, settings).load_and_preprocess(ledger(spark, sf).select("date", "sku", "store_id", "qty", "color", "category")).create_datasets().train()
+    return done.predict().drop("y", "yhat")
+
+
+def training_history(spark, sf):
+    w = labelled(spark, sf).persist()
+    _, rows = forecasters.train_ridge(w, N_OUT, epochs=6)
+    w.unpersist()
+    return spark.createDataFrame(rows, "epoch int, penalty double, train_mse double, val_mse double, best boolean")
 
 
 def predict_ridge(spark, sf):
@@ -384,6 +436,7 @@ QUERIES = {
     "top_skus_by_error": top_skus_by_error, "top_predictions": top_predictions, "ci_errorbars": ci_errorbars, "cluster_mean_prediction": cluster_mean_prediction, "prediction_summary": prediction_summary, "linspace_sample": linspace_sample,
     "loss_wmse": loss_wmse, "loss_pinball": loss_pinball, "loss_huber": loss_huber, "loss_combined": loss_combined, "loss_smape": loss_smape, "loss_mase": loss_mase, "decomposition": decomposition, "patches": patches,
     "causal_conv": causal_conv, "linear_resize": linear_resize, "positional_encoding": positional_encoding, "ensemble": ensemble, "elbow": elbow, "cluster_quality": cluster_quality, "batch_mean_metrics": batch_mean_metrics,
+    "scan_csv": scan_csv, "sorted_ledger": sorted_ledger, "time_matrix": time_matrix, "step_intervals": step_intervals, "pipeline_forecasts": pipeline_forecasts, "training_history": training_history,
     "generate_data": generate_data, "cluster_kmeans": cluster_kmeans, "predict_ridge": predict_ridge,
 }
 

@@ -26,7 +26,7 @@ numbered AS (SELECT *, row_number() OVER w AS window_id, n - 12 AS n_windows,
   FROM coded WINDOW w AS (PARTITION BY sku, store_id ORDER BY period)),
 cut AS (SELECT *, CASE WHEN window_id > n_windows - ceil(n_windows * 0.2) THEN 'test' ELSE 'train' END AS split FROM numbered WHERE window_id <= n_windows),
 forecasts AS (SELECT *, x[5:8] AS yhat, list_sum(y) AS actual, list_sum(x[5:8]) AS prediction FROM cut WHERE split = 'test'),
-steps AS (SELECT sku, store_id, window_id, s AS step, y[s + 1] AS actual, yhat[s + 1] AS prediction FROM forecasts, (SELECT unnest(range(4)) AS s)),
+steps AS (SELECT sku, store_id, window_id, list_avg(x) AS tl, list_avg(x[5:8]) AS ll, s AS step, y[s + 1] AS actual, yhat[s + 1] AS prediction FROM forecasts, (SELECT unnest(range(4)) AS s)),
 meta AS (SELECT sku, store_id, sum(qty) AS sum_values, quantile_cont(qty, 0.5) AS median, avg(qty) AS mean, count(*)::DOUBLE AS length, stddev_pop(qty) AS standard_deviation, var_pop(qty) AS variance,
     sqrt(avg(qty * qty)) AS root_mean_square, max(qty) AS maximum, max(abs(qty)) AS absolute_maximum, min(qty) AS minimum FROM kept GROUP BY sku, store_id),
 spread AS (SELECT *, stddev_pop(prediction) OVER (PARTITION BY bins) AS sp FROM forecasts),
@@ -70,7 +70,8 @@ _QUERIES = {
     "cats_map": "SELECT sku, store_id, period, list_reduce(list_transform(vocab, lambda v: (v = color)::INT::VARCHAR), lambda a, b: a || b) AS color_bits FROM weekly, (SELECT list_sort(list(DISTINCT color)) AS vocab FROM weekly)",
     "model_inputs": f"""SELECT {_K}, sku_code AS sku_in, list_sum(x) AS qty_total, round(sin({_TAU} * weekofyear(ps[5] + 7) / 53), 6) AS future_first, round(sin({_TAU} * weekofyear(ps[8] + 7) / 53), 6) AS future_last
   FROM (SELECT *, list(period) OVER (PARTITION BY sku, store_id ORDER BY period ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ps FROM numbered) WHERE window_id <= n_windows""",
-    "predictor_frame": f"SELECT {_K}, prediction, greatest(0, prediction - 10) AS lower, prediction + 10 AS upper, 0.95::DOUBLE AS confidence FROM forecasts",
+    "predictor_frame": f"""SELECT {_K}, sku AS name, round(prediction, 6) AS prediction, round(greatest(0, prediction - 1.959963984540054 * s), 6) AS lower, round(prediction + 1.959963984540054 * s, 6) AS upper, 0.95::DOUBLE AS confidence
+  FROM forecasts, (SELECT stddev_samp(actual - prediction) AS s FROM forecasts)""",
     "resample_daily": _resample("date"),
     "resample_weekly": "SELECT sku, store_id, period, qty, color, category FROM weekly",
     "resample_monthly": _resample("last_day(date)"),
@@ -93,7 +94,14 @@ _QUERIES = {
     "time_features_future": _features("f", 7),
     "sliding_windows": f"SELECT {_K}, period, array_to_string(list_transform(x, lambda v: v::BIGINT::VARCHAR), ',') AS x, array_to_string(list_transform(y, lambda v: v::BIGINT::VARCHAR), ',') AS y FROM cut",
     "chrono_split": f"SELECT {_K}, n_windows, split FROM cut",
-    "split_counts": "SELECT bins, split, count(*) AS n FROM cut GROUP BY 1, 2",
+    "split_counts": "SELECT bins, split, count(*) AS n, count(*) // 128 AS steps_per_epoch FROM cut GROUP BY 1, 2",
+    "batches": f"""SELECT {_K}, bins, ((row_number() OVER (PARTITION BY bins ORDER BY substr(md5(concat_ws('|', sku, store_id, window_id::VARCHAR, '42')), 1, 5), {_K}) - 1) // 128)::INT AS batch_no
+  FROM cut WHERE split = 'train'""",
+    "scan_csv": "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey < 3",
+    "sorted_ledger": "SELECT date, sum(qty) AS qty, count(*) AS n FROM ledger GROUP BY date",
+    "time_matrix": "SELECT period, " + ", ".join(f"round({e}, 6) AS f{i}" for i, e in enumerate((f"sin({_TAU} * week(period) / 53)", f"cos({_TAU} * week(period) / 53)", f"sin({_TAU} * month(period) / 12)", f"cos({_TAU} * month(period) / 12)"))) + " FROM (SELECT DISTINCT period FROM weekly)",
+    "step_intervals": f"""SELECT {_K}, steps.step::INT AS step, round(prediction, 6) AS prediction, round(prediction - 1.6448536269514715 * s, 6) AS lower, round(prediction + 1.6448536269514715 * s, 6) AS upper
+  FROM steps JOIN (SELECT step, stddev_samp(actual - prediction) AS s FROM steps GROUP BY step) AS d ON steps.step = d.step""",
     "flatten_horizon": f"SELECT {_K}, actual, prediction FROM forecasts",
     "round_robin_batches": f"""SELECT bins, batch_no, count(*) AS n, (row_number() OVER (ORDER BY batch_no, bins) - 1)::INT AS turn FROM
   (SELECT bins, ((row_number() OVER (PARTITION BY bins ORDER BY {_K}) - 1) // 128)::INT AS batch_no FROM cut WHERE split = 'train') GROUP BY 1, 2""",
@@ -126,7 +134,7 @@ _QUERIES = {
     "loss_pinball": f"SELECT round(avg({_PIN}), 6) AS loss FROM ({_E})",
     "loss_huber": f"SELECT round(avg(CASE WHEN abs(e) < 2 THEN 0.5 * e * e / 2 ELSE abs(e) - 1 END), 6) AS loss FROM ({_E})",
     "loss_combined": f"""SELECT round(p, 6) AS point, round(q, 6) AS quantile, round(d, 6) AS decomposition, round(p + 0.5 * q + 0.1 * d, 6) AS total FROM
-  (SELECT avg(CASE WHEN abs(e) < 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END) AS p, avg({_PIN}) AS q, avg((prediction * 0.1) ** 2) AS d FROM ({_E}))""",
+  (SELECT avg(CASE WHEN abs(e) < 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END) AS p, avg({_PIN}) AS q, avg((tl + prediction - ll - prediction) ** 2) AS d FROM ({_E}))""",
     "loss_smape": "SELECT round(avg(200 * abs(prediction - actual) / (abs(prediction) + abs(actual) + 1e-8)), 6) AS loss FROM steps",
     "loss_mase": "SELECT round(avg((abs(y[1] - yhat[1]) + abs(y[2] - yhat[2]) + abs(y[3] - yhat[3]) + abs(y[4] - yhat[4])) / 4 / ((abs(x[5] - x[1]) + abs(x[6] - x[2]) + abs(x[7] - x[3]) + abs(x[8] - x[4])) / 4 + 1e-8)), 6) AS loss FROM forecasts",
     "decomposition": "SELECT sku, store_id, period, round(t, 6) AS trend, round(qty - t, 6) AS seasonal FROM (SELECT *, avg(qty) OVER (PARTITION BY sku, store_id ORDER BY period ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS t FROM kept)",

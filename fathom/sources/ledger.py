@@ -25,6 +25,16 @@ def load_sales(spark: SparkSession, path: str, date: str = "date", sku: str = "s
     return normalized(reader(), date, sku, quantity, store, product_id, sales_qty)
 
 
+def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files with headers by a known schema: one pass, columns pruned, bad rows an error."""
+    return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
+
+
+def sorted_by_date(df: DataFrame, date: str = "date", *ties: str) -> DataFrame:
+    """The ledger in the order of its dates, by a range shuffle."""
+    return df.orderBy(date, *ties)
+
+
 def normalized(df: DataFrame, date: str = "date", sku: str = "sku", quantity: str = "qty", store: str = "store_id", product_id: str = "product_id", sales_qty: str = "sales_qty") -> DataFrame:
     """Source names replaced where present, required columns checked, dates as dates."""
     renames = {old: new for old, new in ((product_id, sku), (sales_qty, quantity)) if old in df.columns and new not in df.columns}
