@@ -33,7 +33,9 @@ BLOCK = 128
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
-SHARD_BLOCKS = 8192
+SHARD_BLOCKS = 32_768
+#: Tasks that fill shards, at most.
+FILL_TASKS = 10_000
 #: Documents of a source that are numbered together.
 CHUNK_ROWS = 4096
 MAX_SOURCES = 100_000
@@ -166,7 +168,7 @@ def slots(sources: DataFrame, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), known[k]["sid"])), pa.array(np.full(len(mine), r["shard"])), pa.array(mine), pa.array(at)], ["sid", "shard", "slot", "block"])
 
     # an explicit number: a shard's rows are few here and many when filled
-    return dealt.withColumn("first", before).repartition(max(1, shards), "shard").mapInArrow(fill, "sid long, shard long, slot long, block long")
+    return dealt.withColumn("first", before).repartition(max(1, min(shards, FILL_TASKS)), "shard").mapInArrow(fill, "sid long, shard long, slot long, block long")
 
 
 def blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -181,7 +183,7 @@ def blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 def used_parts(placed: DataFrame, sources: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """Document parts the mix takes, with how often (``uses``)."""
     uses = slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    return blocks(placed, block).join(uses, ["sid", "block"])
+    return blocks(placed, block).join(uses.hint("merge"), ["sid", "block"])  # as many rows as blocks: never to be sent to all
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
