@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the
 next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text fails the quality rules and goes; a null id is an id like any other, before all in
+line dedup and after all in near-dedup; rows of one id with different texts are documents of their own, of repeated rows
+near-dedup leaves one; ties are decided by id, then by a hash of the row; an empty table gives an empty result; further
+columns, whatever their names, are handed on to the packing stage.
 """
 
 from __future__ import annotations
