@@ -67,7 +67,7 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             *["carried"] * bool(carry),
             "doc_id",
             F.size("w").cast("long").alias("n_words"),
-            F.length(F.translate(text, texts.SPACES, "")).cast("long").alias("word_chars"),
+            texts.total(F.transform("w", lambda w: F.length(w))).alias("word_chars"),
             texts.count_of(text, "#*$%&|<>").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             _covered(_grams(_hashes(F.col("w")))).alias("n_repeat_words"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,4 +37,5 @@ def total(items: Column) -> Column:
 
 def count_of(text: Column, characters: str) -> Column:
     """How many characters of ``text`` are among ``characters``."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    left = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
+    return (F.length(text) - F.length(left)).cast("long")
