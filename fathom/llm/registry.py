@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.llm import embeddings, lines, minhash, mixing, packing, pii, quality_rules, substrings, urls, warc
+from fathom.llm import embeddings, lines, minhash, mixing, packing, periodic, pii, quality_rules, resampling, secret_scan, substrings, urls, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
