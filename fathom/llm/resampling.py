@@ -63,7 +63,8 @@ def buckets(own: Column) -> Column:
 def totals(rows: DataFrame, text_column: str = "text") -> list[int]:
     """How many features of all rows each bucket has; summed in tasks before the shuffle."""
     own = rows.select(texts.let(words(F.col(f"`{text_column}`").cast("string")), buckets).alias("b"))
-    found = own.select(F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
+    # outer: for a plain explode Spark filters empty arrays first, and makes every array twice for it
+    found = own.select(F.explode_outer("b").alias("b")).where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
     out = [0] * BUCKETS
     for b, n in found:
         out[b] = n
