@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators import selection
+
 
 def _a() -> Column:
     return F.col("actual")
@@ -30,8 +32,25 @@ def register(name: str, metric: Callable[[Column, Column], Column]) -> None:
     _added[name] = metric
 
 
-def registry() -> dict[str, Column]:
-    """Metric name -> aggregate over actual and prediction."""
+def unregister(name: str) -> None:
+    _added.pop(name, None)
+
+
+def tweedie_deviance(power: float = 0.0) -> Column:
+    """Mean deviance of the Tweedie family: 0 the normal, 1 the Poisson, 2 the gamma distribution. Predictions below or at 0, where the
+    power asks for positive ones, give null rows that are left out."""
+    a, p = _a(), _p()
+    if power == 0:
+        return F.avg(F.pow(a - p, 2))
+    fit = p > 0
+    if power == 1:
+        return F.avg(F.when(fit, 2 * (F.when(a > 0, a * F.log(a / p)).otherwise(0.0) - a + p)))
+    if power == 2:
+        return F.avg(F.when(fit & (a > 0), 2 * (F.log(p / a) + a / p - 1)))
+    return F.avg(F.when(fit, 2 * (F.pow(F.greatest(a, F.lit(0.0)), 2 - power) / ((1 - power) * (2 - power)) - a * F.pow(p, 1 - power) / (1 - power) + F.pow(p, 2 - power) / (2 - power))))
+
+
+def _built_in() -> dict[str, Column]:
     e = _p() - _a()
     mean = F.avg(_a())
     variance = F.var_pop(_a())
@@ -39,13 +58,23 @@ def registry() -> dict[str, Column]:
     return {
         "mse": mse, "rmse": F.sqrt(mse), "mae": F.avg(F.abs(e)), "mape": F.avg(F.when(_a() != 0, F.abs(e / _a()))), "smape": F.avg(2 * F.abs(e) / (F.abs(_a()) + F.abs(_p()) + 1e-8)), "wmape": F.sum(F.abs(e)) / F.sum(F.abs(_a())),
         "msle": F.avg(F.pow(F.log1p(F.greatest(_p(), F.lit(0.0))) - F.log1p(F.greatest(_a(), F.lit(0.0))), 2)), "r2": 1 - mse / variance, "explained_variance": 1 - F.var_pop(_a() - _p()) / variance, "log_cosh": F.avg(F.abs(e) + F.log1p(F.exp(-2 * F.abs(e))) - F.log(F.lit(2.0))),
-        "rse": mse / variance, "pearson": F.corr(_a(), _p()), "concordance": 2 * F.covar_pop(_a(), _p()) / (variance + F.var_pop(_p()) + F.pow(mean - F.avg(_p()), 2)), "nrmse": F.sqrt(mse) / mean, "max_error": F.max(F.abs(e)), **{n: f(_a(), _p()) for n, f in _added.items()},
+        "rse": mse / variance, "pearson": F.corr(_a(), _p()), "concordance": 2 * F.covar_pop(_a(), _p()) / (variance + F.var_pop(_p()) + F.pow(mean - F.avg(_p()), 2)), "nrmse": F.sqrt(mse) / mean, "max_error": F.max(F.abs(e)),
     }
 
 
-def metrics(rows: DataFrame, names: tuple[str, ...] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    known = registry()
-    return rows.groupBy(*by).agg(*[known[n].alias(n) for n in names or known])
+#: The metrics that are always known and stated in every report.
+BUILT_IN = ("mse", "rmse", "mae", "mape", "smape", "wmape", "msle", "r2", "explained_variance", "log_cosh", "rse", "pearson", "concordance", "nrmse", "max_error")
+
+
+def registry() -> dict[str, Column]:
+    """Metric name -> aggregate over actual and prediction: those of ``BUILT_IN``, the deviance, and what was registered."""
+    return {**_built_in(), "tweedie_deviance": tweedie_deviance(), **{n: f(_a(), _p()) for n, f in _added.items()}}
+
+
+def metrics(rows: DataFrame, names: tuple[str, ...] | None = None, by: tuple[str, ...] = (), extra: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """The metrics of these names (all that are known by default), and those of ``extra``, in one aggregation."""
+    known = registry() | {n: f(_a(), _p()) for n, f in (extra or {}).items()}
+    return rows.groupBy(*by).agg(*[known[n].alias(n) for n in (*(names or registry()), *(extra or {}))])
 
 
 def evaluate(forecasts: DataFrame) -> DataFrame:
@@ -111,10 +140,22 @@ def step_intervals(rows: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 
 def quantile_forecasts(forecasts: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """The point forecast plus each quantile of the residuals, as point, q10, q25 ..."""
-    found = forecasts.agg(*[F.percentile(_a() - _p(), q).alias(f"q{round(q * 100)}") for q in quantiles])
-    names = [f"q{round(q * 100)}" for q in quantiles]
-    return forecasts.join(F.broadcast(found)).withColumns({n: _p() + F.col(n) for n in names}).withColumn("point", _p())  # one row
+    """The point forecast plus each quantile of the residuals, as point, q10, q25 ... All quantiles come from one exact selection."""
+    found = selection.quantiles(forecasts, _a() - _p(), quantiles)
+    return forecasts.withColumns({f"q{round(q * 100)}": _p() + F.lit(v).cast("double") for q, v in zip(quantiles, found)}).withColumn("point", _p())
+
+
+def error_percentiles(forecasts: DataFrame, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+    """One row of exact percentiles of the absolute error: p10, p25 ..."""
+    found = selection.quantiles(forecasts, F.abs(_a() - _p()), [n / 100 for n in percents])
+    return forecasts.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(f"p{n}") for n, v in zip(percents, found)])
+
+
+def summary(forecasts: DataFrame) -> DataFrame:
+    """One row: count, mean, exact median, deviation and range of the predictions, and the number of clusters."""
+    p = _p()
+    median = selection.quantiles(forecasts, p, [0.5])[0]
+    return forecasts.agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.lit(median).cast("double").alias("median"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), F.count_distinct("bins").alias("clusters"))
 
 
 def histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -206,7 +206,7 @@ def eval_metrics(spark, sf):
 
 
 def metric_registry(spark, sf):
-    return rounded(evaluation.metrics(evaluation.steps(forecasts(spark, sf))))
+    return rounded(evaluation.metrics(evaluation.steps(forecasts(spark, sf)), evaluation.BUILT_IN))
 
 
 def horizon_metrics(spark, sf):
@@ -243,8 +243,7 @@ def quantile_triplet(spark, sf):
 
 
 def error_percentiles(spark, sf):
-    p = forecasts(spark, sf).agg(F.percentile(F.abs(F.col("actual") - F.col("prediction")), [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]).alias("p"))
-    return p.select(*[r(F.col("p")[i]).alias(f"p{n}") for i, n in enumerate((10, 25, 50, 75, 90, 95, 99))])
+    return rounded(evaluation.error_percentiles(forecasts(spark, sf)))
 
 
 def residual_histogram(spark, sf):
@@ -270,8 +269,7 @@ def cluster_mean_prediction(spark, sf):
 
 
 def prediction_summary(spark, sf):
-    p = F.col("prediction")
-    return rounded(forecasts(spark, sf).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.percentile(p, 0.5).alias("median"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), F.count_distinct("bins").alias("clusters")))
+    return rounded(evaluation.summary(forecasts(spark, sf)))
 
 
 def linspace_sample(spark, sf):

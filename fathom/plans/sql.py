@@ -51,7 +51,7 @@ def _bits(column: str, characters: bool) -> str:
 
 
 def _residual(kind: str) -> str:
-    return f"""SELECT {_K}, round(prediction - 1.6448536269514715 * s, 6) AS lower, round(prediction + 1.6448536269514715 * s, 6) AS upper FROM forecasts, (SELECT {kind}(actual - prediction) AS s FROM forecasts)"""
+    return f"""SELECT {_K}, round(prediction - 1.6448536269514715 * s, 6) AS lower, round(prediction + 1.6448536269514715 * s, 6) AS upper FROM (SELECT *, {kind}(actual - prediction) OVER () AS s FROM forecasts)"""
 
 
 _PIN = "(greatest(-0.9 * (e + 5), 0.1 * (e + 5)) + greatest(-0.5 * e, 0.5 * e) + greatest(-0.1 * (e - 5), 0.9 * (e - 5))) / 3"
@@ -71,7 +71,7 @@ _QUERIES = {
     "model_inputs": f"""SELECT {_K}, sku_code AS sku_in, list_sum(x) AS qty_total, round(sin({_TAU} * weekofyear(ps[5] + 7) / 53), 6) AS future_first, round(sin({_TAU} * weekofyear(ps[8] + 7) / 53), 6) AS future_last
   FROM (SELECT *, list(period) OVER (PARTITION BY sku, store_id ORDER BY period ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ps FROM numbered) WHERE window_id <= n_windows""",
     "predictor_frame": f"""SELECT {_K}, sku AS name, round(prediction, 6) AS prediction, round(greatest(0, prediction - 1.959963984540054 * s), 6) AS lower, round(prediction + 1.959963984540054 * s, 6) AS upper, 0.95::DOUBLE AS confidence
-  FROM forecasts, (SELECT stddev_samp(actual - prediction) AS s FROM forecasts)""",
+  FROM (SELECT *, stddev_samp(actual - prediction) OVER () AS s FROM forecasts)""",
     "resample_daily": _resample("date"),
     "resample_weekly": "SELECT sku, store_id, period, qty, color, category FROM weekly",
     "resample_monthly": _resample("last_day(date)"),

@@ -6,7 +6,8 @@ import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from fathom.operators import evaluation
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -42,8 +43,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def write_summary(forecasts: DataFrame, path: str, title: str = "Forecasts") -> str:
     """Count, mean, median, deviation and range of the predictions, and the number of clusters, as lines of text."""
-    p = F.col("prediction")
-    row = forecasts.agg(F.count("*").alias("count"), F.avg(p).alias("mean"), F.percentile_approx(p, 0.5, 1_000_000).alias("median"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), F.count_distinct("bins").alias("clusters")).first()
+    row = evaluation.summary(forecasts).withColumnRenamed("n", "count").first()
     lines = [title, "=" * len(title)] + [f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in row.asDict().items()]
     text = "\n".join(lines) + "\n"
     put_text(forecasts.sparkSession, path, text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,10 @@ def test_registries_and_columns(spark, sales):
     evaluation.register("bias", lambda a, p: F.avg(p - a))
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 2.0)], "actual double, prediction double")
     assert evaluation.metrics(df, ("bias",)).first()["bias"] == 1.0
+    evaluation.unregister("bias")
+    assert "bias" not in evaluation.metrics(df).columns and tuple(evaluation.metrics(df, evaluation.BUILT_IN, extra={"bias": lambda a, p: F.avg(p - a)}).columns) == (*evaluation.BUILT_IN, "bias")
+    deviance = [df.agg(evaluation.tweedie_deviance(q)).first()[0] for q in (0, 1, 2, 1.5)]
+    assert deviance == pytest.approx([2.0, 2 - math.log(3), math.log(3) + 1 / 3 - 1, -4 + 2 / math.sqrt(3) + 2 * math.sqrt(3)])
     forecasters.register("zero", lambda n_out=4, **_: lambda w: w.withColumn("yhat", F.array_repeat(F.lit(0.0), n_out)))
     assert forecasters.create("zero", n_out=2)(spark.range(1)).first()["yhat"] == [0.0, 0.0]
     p = ForecastPipeline(spark)
