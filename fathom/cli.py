@@ -1,4 +1,4 @@
-"""Command line: train, evaluate, predict, generate-data, preprocess, version."""
+"""Command line: train, tune, evaluate, predict, generate-data, preprocess, version."""
 
 from __future__ import annotations
 
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     data, config, output = ("--data", {"required": True}), ("--config", {"help": "settings as YAML"}), ("--output", {"required": True})
     model = ("--model", {"required": True, "help": "folder of a saved model"})
     step("train", "fit and save a model", data, config, output)
+    step("tune", "train many settings of the linear model, most of them not to the end; a table of trials and the best model", data, config, output)
     step("evaluate", "errors on the last windows of a ledger", data, model, ("--output", {"help": "JSON file"}))
     step("predict", "forecasts as CSV", data, model, output, ("--confidence", {"type": float, "default": 0.95}))
     counts = [(f"--{n}", {"type": int, "default": d}) for n, d in (("days", 1460), ("products", 100), ("stores", 20), ("seed", 42))]
@@ -41,35 +42,29 @@ def _settings(path: str | None) -> Settings:
     return (Settings.from_yaml(path) if path else Settings()).with_environment()
 
 
-def _loaded(spark: SparkSession, args: argparse.Namespace) -> ForecastPipeline:
-    """A saved model over the windows of a ledger."""
-    known = ForecastPipeline.load(spark, args.model)
-    fitted = dict(known.tables)
-    known.load_and_preprocess(args.data)
-    known.tables |= {n: t for n, t in fitted.items() if n in ("scaler", "clusters", "model", "history")}
-    from fathom.operators import series
-
-    known.series = series.with_clusters(known.series.drop("bins"), known.tables["clusters"], ("sku", "store_id"))
-    return known.create_datasets()
-
-
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "train":
         done = ForecastPipeline(spark, _settings(args.config)).load_and_preprocess(args.data).create_datasets().train()
         done.save(args.output)
         print(sinks.metrics_json(done.evaluate()))
+    elif args.command == "tune":
+        done = ForecastPipeline(spark, _settings(args.config)).load_and_preprocess(args.data).create_datasets()
+        trials = done.tune(f"{args.output}/study")
+        sinks.write_csv(trials, f"{args.output}/trials.csv")
+        done.save(f"{args.output}/model")
+        print(sinks.metrics_json(done.evaluate()))
     elif args.command == "evaluate":
-        metrics = _loaded(spark, args).evaluate()
+        metrics = ForecastPipeline.load(spark, args.model).restore(args.data).evaluate()
         print(sinks.metrics_json(metrics))
         if args.output:
             sinks.write_metrics(metrics, args.output)
     elif args.command == "predict":
-        sinks.write_csv(_loaded(spark, args).predict(args.confidence).drop("y", "yhat"), args.output)
+        sinks.write_csv(ForecastPipeline.load(spark, args.model).restore(args.data).predict(args.confidence).drop("y", "yhat"), args.output)
     elif args.command == "generate-data":
         sinks.write_csv(ledger.sorted_by_date(ledger.generate_sales(spark, args.days, args.products, args.stores, seed=args.seed)), args.output)
     elif args.command == "preprocess":
         pipeline = ForecastPipeline(spark, _settings(args.config))
-        sinks.write_parquet(pipeline.prepared(ledger.load_sales(spark, args.data)), args.output)
+        sinks.write_parquet(pipeline.prepared(pipeline.read(args.data)), args.output)
     return 0
 
 

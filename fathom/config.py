@@ -27,6 +27,7 @@ class DataSettings(BaseModel):
     categorical_columns: list[str] | None = None
     onehot_columns: list[str] | None = None
     outlier_deviations: float = Field(5.0, gt=0)
+    cache_dir: str | None = None
 
     @field_validator("resample_period")
     @classmethod
@@ -42,7 +43,7 @@ class TimeSeriesSettings(BaseModel):
 
 
 class ModelSettings(BaseModel):
-    model_type: Literal["seasonal_naive", "ridge"] = "ridge"
+    model_type: Literal["seasonal_naive", "mean", "ridge", "linear", "effects"] = "ridge"
     season: int = Field(4, ge=1)
     ridge: float = Field(1.0, ge=0)
     quantiles: list[float] = [0.1, 0.5, 0.9]
@@ -59,6 +60,26 @@ class TrainingSettings(BaseModel):
     num_epochs: int = Field(10, ge=1)
     batch_size: int = Field(128, ge=1)
     early_stop_patience: int = Field(3, ge=1)
+    learning_rate: float = Field(1e-2, gt=0)
+    weight_decay: float = Field(1e-2, ge=0)
+    steps_per_epoch: int = Field(16, ge=1)
+    flatten_loss: bool = True
+
+
+class TuningSettings(BaseModel):
+    n_trials: int = Field(9, ge=1)
+    learning_rates: tuple[float, float] = (1e-4, 1e-1)
+    weight_decays: tuple[float, float] = (1e-6, 1e-1)
+    warm_up: int = Field(0, ge=0)
+    rung: int = Field(1, ge=0)
+    eta: int = Field(3, ge=2)
+
+    @field_validator("learning_rates", "weight_decays")
+    @classmethod
+    def _range(cls, value: tuple[float, float]) -> tuple[float, float]:
+        if not 0 < value[0] <= value[1]:
+            raise ValueError("a range goes from a positive number to one at least as large")
+        return value
 
 
 class Settings(BaseModel):
@@ -66,6 +87,7 @@ class Settings(BaseModel):
     timeseries: TimeSeriesSettings = TimeSeriesSettings()
     model: ModelSettings = ModelSettings()
     training: TrainingSettings = TrainingSettings()
+    tuning: TuningSettings = TuningSettings()
     output_dir: str = "output"
     seed: int = 42
     log_level: Literal["DEBUG", "INFO", "WARNING", "ERROR"] = "WARNING"

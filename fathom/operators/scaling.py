@@ -25,10 +25,22 @@ def scale(df: DataFrame, scaler: DataFrame, group: str = "bins", quantity: str =
     return df.join(known, F.col(group) == F.col("_g"), "left").withColumn(out, value).drop("_g", "mean", "std")
 
 
+def fit_clip(df: DataFrame, by: str = "sku", quantity: str = "qty") -> DataFrame:
+    """by, mean and sample deviation (0 where there is none); summed before the shuffle, as a sku may hold a large share of all rows."""
+    return df.groupBy(by).agg(F.avg(quantity).alias("mean"), F.coalesce(F.stddev_samp(quantity), F.lit(0.0)).alias("sd"))
+
+
+def apply_clip(df: DataFrame, clip: DataFrame, n: float = 3.0, by: str = "sku", quantity: str = "qty") -> DataFrame:
+    """Quantities clipped to mean +/- n deviations of ``fit_clip``; those of groups that it doesn't know stay as they are."""
+    known = clip.select(F.col(by).alias("_by"), F.col("mean").alias("_mu"), F.col("sd").alias("_sd"))
+    met = df.join(known, F.col(by).eqNullSafe(F.col("_by")), "left")
+    x, low, high = F.col(quantity), F.col("_mu") - n * F.col("_sd"), F.col("_mu") + n * F.col("_sd")
+    return met.withColumn("clipped", F.when(F.col("_sd") > 0, F.greatest(F.least(x, high), low)).otherwise(x)).drop("_by", "_mu", "_sd")
+
+
 def clip_outliers(df: DataFrame, n: float = 3.0, by: str = "sku", quantity: str = "qty") -> DataFrame:
     """Quantities clipped to mean +/- n sample deviations of their sku, and whether they were outside."""
-    # summed before the shuffle: a sku may hold a large share of all rows
-    known = df.groupBy(F.col(by).alias("_by")).agg(F.avg(quantity).alias("_mu"), F.coalesce(F.stddev_samp(quantity), F.lit(0.0)).alias("_sd"))
+    known = fit_clip(df, by, quantity).select(F.col(by).alias("_by"), F.col("mean").alias("_mu"), F.col("sd").alias("_sd"))
     df = df.join(known, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     x, low, high = F.col(quantity), F.col("_mu") - n * F.col("_sd"), F.col("_mu") + n * F.col("_sd")
     clipped = F.when(F.col("_sd") > 0, F.greatest(F.least(x, high), low)).otherwise(x)

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom import shared
 from fathom.config import Settings
-from fathom.models import forecasters
+from fathom.models import effects, forecasters, training
 from fathom.operators import clusters, evaluation, scaling, series, windows
 from fathom.pipeline import ForecastPipeline
 from fathom.sources import ledger as sources
@@ -422,6 +423,44 @@ def predict_ridge(spark, sf):
     return rounded(flat(forecasters.predict_ridge(w.where("split = 'test'"), model, N_OUT)).select(*KEY, "bins", "actual", "prediction"))
 
 
+def cluster_search(spark, sf):
+    """Inertia and Davies-Bouldin index of every number of clusters of the series, and which is chosen."""
+    f = series.metafeatures(kept(spark, sf))
+    names = [c for c in f.columns if c.startswith("qty__")]
+    return clusters.statistics(spark, clusters.k_search(series.minmax(f, names), names))
+
+
+def scaled_windows(spark, sf):
+    """Windows of quantities scaled by cluster, which mini-batches need."""
+    s = coded(spark, sf)
+    out = windows.sliding_windows(scaling.scale(s, scaling.fit_scaler(s)), WINDOW, N_OUT, ("qty_scaled",), "qty_scaled").withColumnRenamed("x_qty_scaled", "x_qty")
+    return windows.chrono_split(out, TEST).select(*KEY, "bins", "split", "x_qty", "y")
+
+
+def training_loop(spark, sf):
+    """Five epochs of AdamW over mini-batches of the windows, with the loss of each."""
+    w = scaled_windows(spark, sf).persist()
+    done = training.Training(w, shared.folder(spark, "training"), training.Run(epochs=5, steps=8), (training.Trial(learning_rate=0.02),)).train()
+    w.unpersist()
+    return done.history()
+
+
+def tuned_trials(spark, sf):
+    """Six trials of rate and decay by successive halving: state, epochs, best value and rank of each."""
+    w = scaled_windows(spark, sf).persist()
+    run = training.Run(epochs=4, steps=8, pruning=training.Pruning(rung=1, eta=2))
+    done = training.Training(w, shared.folder(spark, "study"), run, training.sampled(6, (1e-3, 1e-1))).train()
+    w.unpersist()
+    return done.results()
+
+
+def predict_effects(spark, sf):
+    """Forecasts of a ridge regression with an effect of each store."""
+    w = labelled(spark, sf)
+    out = effects.predict(w.where("split = 'test'"), *effects.fit(w))
+    return rounded(flat(out).select(*KEY, "bins", "actual", "prediction"))
+
+
 QUERIES = {
     "scan_parquet": scan_parquet, "load_sales": load_sales, "null_categorical_filter": null_categorical_filter, "series_quality_filter": kept, "sku_index": codes, "sku_name_lookup": sku_name_lookup, "cluster_join": cluster_join,
     "gapfill_weekly": gapfill_weekly, "cats_map": cats_map, "model_inputs": model_inputs, "predictor_frame": predictor_frame, "resample_daily": resample("1D"), "resample_weekly": weekly, "resample_monthly": resample("1M"),
@@ -436,6 +475,7 @@ QUERIES = {
     "causal_conv": causal_conv, "linear_resize": linear_resize, "positional_encoding": positional_encoding, "ensemble": ensemble, "elbow": elbow, "cluster_quality": cluster_quality, "batch_mean_metrics": batch_mean_metrics,
     "scan_csv": scan_csv, "sorted_ledger": sorted_ledger, "time_matrix": time_matrix, "step_intervals": step_intervals, "pipeline_forecasts": pipeline_forecasts, "training_history": training_history,
     "generate_data": generate_data, "cluster_kmeans": cluster_kmeans, "predict_ridge": predict_ridge,
+    "cluster_search": cluster_search, "training_loop": training_loop, "tuned_trials": tuned_trials, "predict_effects": predict_effects,
 }
 
 __all__ = ["QUERIES"]
