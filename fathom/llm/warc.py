@@ -3,15 +3,18 @@
 ARC files (versions 1 and 2) are read by their header lines and declared lengths. Each record becomes a
 WARC record whose id, time, type and digests are synthesised from the record itself, so that a second
 conversion gives the same bytes. Payloads seen before become ``revisit`` records that refer to the one
-``response`` of their digest and repeat its HTTP headers, whose Content-Length tells the payload's size.
+``response`` of their digest, repeat its HTTP headers and tell the payload's size in a header of their own.
 
 Archives are written by tasks, straight into the shared folder, with a name that depends on the input
 partition alone and a rename at the end: a task that runs again replaces its own file. Only an index
-(id, file, place, digest) is shuffled, never payloads. Records are read one at a time; a file ends
-after ``ROLL`` bytes, so nothing larger than that and one record is held.
+(id, file, place, digest) is shuffled, never payloads. A file ends after ``ROLL`` bytes. A compressed file and one of its gzip
+members (by the formats' custom a record each) are held at once.
 
-Damaged records (a header line that can't be read, a declared length beyond the file's end, a broken gzip member, a payload
-that doesn't match its digest) are skipped and counted; reading goes on at the next line that is a record's header.
+A record's place is where its gzip member begins in the file and where its header line begins in the member's content, so it stays the
+same whatever happens to other records. Damaged records (a header line that can't be read, a declared length beyond the member's end, a
+payload that doesn't match its digest) are skipped and counted; reading goes on at the next line that is a record's header. Of a broken
+member what came out before the break is read, and reading goes on at the next gzip header that opens a whole member. Where the file's own
+record is lost, the version is told by each header line. ``archive`` tells what was lost; the query raises if any record is.
 
 Defined results: null html is an empty payload; null urls are written as an empty target; spaces and
 control characters in urls are escaped; repeated page ids keep a record each, a null id has its own
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import datetime
-import gzip
 import hashlib
 import io
 import re
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import scratch
+from fathom.llm import scratch, skew
 
 #: Uncompressed bytes after which an archive file ends.
 ROLL = 16 << 20
@@ -132,33 +134,93 @@ def _block(file: BinaryIO, size: int, damage: Damage | None) -> bytes | None:
     return block
 
 
+def _fields(text: str, version: int) -> dict[str, str] | None:
+    """The fields of a header line, or nothing where it is none. The url may hold spaces, the other fields may not."""
+    values = text.rsplit(" ", len(FIELDS[version]) - 1)
+    if len(values) != len(FIELDS[version]) or not re.fullmatch("[0-9]{1,15}", values[-1]) or not re.fullmatch("[0-9]{8,14}", values[2]):
+        return None
+    return dict(zip(FIELDS[version], values))
+
+
+class _Arc:
+    """Reads the records of one ARC file's streams; remembers the version that the file's own record tells."""
+
+    def __init__(self, damage: Damage | None):
+        self.damage, self.version = damage, 0
+
+    def records(self, file: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """(where the header line begins, header fields, block) of each record but the file's own."""
+        lost = False
+        while True:
+            begins = file.tell()
+            line = _line(file, self.damage)
+            if not line:
+                return
+            text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
+            if not text:
+                continue
+            own = not self.version and text.startswith("filedesc:")
+            if own:
+                size = text.rsplit(" ", 1)[-1]
+                fields = {"length": size} if re.fullmatch("[0-9]{1,15}", size) else None
+            else:
+                fields = _fields(text, self.version) if self.version else _fields(text, 2) or _fields(text, 1)
+            if fields is None:
+                _skipped(self.damage, f"not an ARC header line: {text[:200]!r}", not lost)
+                lost = True
+                continue
+            lost = False
+            block = _block(file, int(fields["length"]), self.damage)
+            if block is None:
+                return
+            if own:
+                told = block.split(b" ", 1)[0]
+                if told not in (b"1", b"2"):
+                    _skipped(self.damage, f"unknown ARC version {told[:20]!r}")
+                else:
+                    self.version = int(told)
+                continue
+            yield begins, fields, block
+
+
 def read_arc(file: BinaryIO, damage: Damage | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record after the file's own, whose second line tells the version. The bytes of a url that
     aren't UTF-8 are kept as they are (as surrogates)."""
-    version, lost = 0, False
-    while line := _line(file, damage):
-        text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
-        if not text:
-            continue
-        # the url may hold spaces, the other fields may not
-        names = FIELDS.get(version, ("url", "length"))
-        values = text.rsplit(" ", len(names) - 1)
-        if len(values) != len(names) or not re.fullmatch("[0-9]{1,15}", values[-1]) or (version and not re.fullmatch("[0-9]{8,14}", values[2])):
-            _skipped(damage, f"not an ARC header line: {text[:200]!r}", not lost)
-            lost = True
+    for _, fields, block in _Arc(damage).records(file):
+        yield fields, block
+
+
+def members(data: bytes, damage: Damage | None = None) -> Iterator[tuple[int, bytes]]:
+    """(where it begins, content) of each gzip member of a file; of a broken one what came out before the break. One break counts once."""
+    at, broken = 0, False
+    while at < len(data):
+        unpack, parts, read = zlib.decompressobj(wbits=31), [], at
+        try:
+            while not unpack.eof and read < len(data):
+                piece = data[read : read + 65536]
+                parts.append(unpack.decompress(piece))
+                read += len(piece)
+        except zlib.error:
+            pass
+        if unpack.eof:
+            yield at, b"".join(parts)
+            at, broken = read - len(unpack.unused_data), False
             continue
-        lost = False
-        block = _block(file, int(values[-1]), damage)
-        if block is None:
+        _skipped(damage, "broken gzip member", not broken)
+        if not broken and parts:
+            yield at, b"".join(parts)
+        broken = True
+        at = data.find(b"\x1f\x8b\x08", at + 1)
+        if at < 0:
             return
-        if not version:
-            told = block.split(b" ", 1)[0]
-            if told not in (b"1", b"2"):
-                _skipped(damage, f"unknown ARC version {told[:20]!r}")
-                return
-            version = int(told)
-            continue
-        yield dict(zip(names, values)), block
+
+
+def arc_records(data: bytes, damage: Damage | None = None) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """(place, header fields, block) of each record of a gzipped ARC file."""
+    arc = _Arc(damage)
+    for begins, content in members(data, damage):
+        for inside, fields, block in arc.records(io.BytesIO(content)):
+            yield f"{begins}:{inside}", fields, block
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -199,6 +261,12 @@ def read_warc(file: BinaryIO, damage: Damage | None = None) -> Iterator[tuple[di
         yield fields, block
 
 
+def warc_records(data: bytes, damage: Damage | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of a gzipped WARC file."""
+    for _, content in members(data, damage):
+        yield from read_warc(io.BytesIO(content), damage)
+
+
 def convert(header: dict[str, str], block: bytes, key: int | None, response: int | None, revisit: bool) -> bytes:
     """The WARC record for an ARC record: a response, or a revisit of the record ``response``."""
     http, payload = split_http(block)
@@ -207,7 +275,7 @@ def convert(header: dict[str, str], block: bytes, key: int | None, response: int
         ("WARC-Target-URI", header["url"]), ("WARC-IP-Address", header["ip"]), ("WARC-Payload-Digest", "sha1:" + digest(payload)),
     ]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(response))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(response)), ("WARC-Payload-Length", str(len(payload)))]
         block = http
     kind = "application/http; msgtype=response" if http else header["type"]
     return warc_record([*fields, ("WARC-Block-Digest", "sha1:" + digest(block)), ("Content-Type", kind)], block)
@@ -225,17 +293,16 @@ class _Writer:
         self.stem, self.suffix, self.preamble, self.roll = stem, suffix, preamble, roll
         self.n, self.out = 0, None
 
-    def add(self, record: bytes) -> tuple[str, int]:
+    def add(self, record: bytes) -> tuple[str, str]:
         """The name of the record's file and its place there."""
         if self.out is None:
-            self.name, self.count, self.size = f"{self.stem}-{self.n:05d}.{self.suffix}.gz", 0, 0
+            self.name, self.at, self.size = f"{self.stem}-{self.n:05d}.{self.suffix}.gz", 0, 0
             self.temporary = f"{self.folder}/.{self.name}-{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(self.temporary)
             if self.preamble:
                 self._member(self.preamble(self.name))
+        name, place = self.name, f"{self.at}:0"
         self._member(record)
-        name, place = self.name, self.count
-        self.count += 1
         self.size += len(record)
         if self.size >= self.roll:
             self.close()
@@ -243,7 +310,9 @@ class _Writer:
 
     def _member(self, data: bytes) -> None:
         packer = zlib.compressobj(LEVEL, wbits=31)
-        self.out.write(packer.compress(data) + packer.flush())
+        packed = packer.compress(data) + packer.flush()
+        self.out.write(packed)
+        self.at += len(packed)
 
     def close(self) -> None:
         if self.out is not None:
@@ -255,9 +324,11 @@ class _Writer:
             self.n, self.out = self.n + 1, None
 
 
-def _opened(folder: str, name: str) -> BinaryIO:
+def _content(folder: str, name: str) -> bytes:
+    """A file as it is, compressed."""
     files, path = fs.FileSystem.from_uri(folder)
-    return io.BufferedReader(gzip.GzipFile(fileobj=files.open_input_stream(f"{path}/{name}", compression=None)), 1 << 20)
+    with files.open_input_stream(f"{path}/{name}", compression=None) as source:
+        return source.read()
 
 
 def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "20240101000000") -> DataFrame:
@@ -273,17 +344,17 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "2024
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                     file, place = out.add(arc_record(escaped(url), "0.0.0.0", date, "text/html", http + payload, version))
                     rows.append((key, file, place, digest(payload), len(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["key", "file", "place", "digest", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], ["key", "file", "place", "digest", "bytes"])
         out.close()
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "key long, file string, place long, digest string, bytes long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "key long, file string, place string, digest string, bytes long")
 
 
 def plan_revisits(index: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """The index with what each record becomes: the largest key of a digest stays a response. Sums by digest
-    are formed before the shuffle; digests of one record alone need no join partner's rows."""
-    first = index.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("response"))
-    joined = index.join(first, "digest", "left")
+    """The index (a stored table) with what each record becomes: the largest key of a digest stays a response. Digests are grouped in tasks
+    before the shuffle; a digest that very many records have is looked up where they lie, so it gathers nowhere."""
+    first = scratch.table(index.groupBy("digest").agg(F.count("*").alias("_n"), F.max(F.when(F.col("bytes") >= min_bytes, F.col("key"))).alias("response")), "digests")
+    joined = skew.looked_up(index, first, ["digest"], "_n")
     revisit = (F.col("bytes") >= min_bytes) & F.col("response").isNotNull() & ~F.col("key").eqNullSafe(F.col("response"))
     return joined.select("key", "file", "place", "response", revisit.alias("revisit"))
 
@@ -294,19 +365,19 @@ def tasks_for(files: int) -> int:
 
 
 def convert_archives(plan: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
-    """Convert ARC files as planned; file (written) and damaged (records skipped). A task reads whole files, each of bounded size.
+    """Convert ARC files as planned; file (written), records written, planned and damaged. A task reads whole files, each of bounded size.
     ``plan``: a stored table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(file: str, rows: dict[int, tuple]) -> pa.RecordBatch:
+        def one(file: str, rows: dict[str, tuple]) -> pa.RecordBatch:
             # one file for each ARC file, so that a task that runs again replaces its own
-            out, damage, name = _Writer(warc_folder, file.removesuffix(".arc.gz"), "warc", roll=float("inf")), Damage(), None
-            with _opened(arc_folder, file) as source:
-                for place, (header, block) in enumerate(read_arc(source, damage)):
-                    if place in rows:
-                        name, _ = out.add(convert(header, block, *rows[place]))
+            out, damage, name, n = _Writer(warc_folder, file.removesuffix(".arc.gz"), "warc", roll=float("inf")), Damage(), None, 0
+            for place, header, block in arc_records(_content(arc_folder, file), damage):
+                if place in rows:
+                    name, _ = out.add(convert(header, block, *rows[place]))
+                    n += 1
             out.close()
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([damage.n], pa.int64())], ["file", "damaged"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((name, pa.string()), (n, pa.int64()), (len(rows), pa.int64()), (damage.n, pa.int64()))], ["file", "written", "planned", "damaged"])
 
         file, rows = None, {}
         for batch in batches:
@@ -321,7 +392,7 @@ def convert_archives(plan: DataFrame, arc_folder: str, warc_folder: str) -> Data
 
     # an explicit number: rows of the plan are small, and files by file would else be merged into few tasks
     n = tasks_for(plan.select("file").distinct().count())
-    return plan.select("key", "file", "place", "response", "revisit").repartition(n, "file").sortWithinPartitions("file").mapInArrow(run, "file string, damaged long")
+    return plan.select("key", "file", "place", "response", "revisit").repartition(n, "file").sortWithinPartitions("file").mapInArrow(run, "file string, written long, planned long, damaged long")
 
 
 def index_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -332,20 +403,27 @@ def index_archives(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 rows = []
-                with _opened(folder, file) as source:
-                    for place, (_, block) in enumerate(read_arc(source, Damage())):
-                        payload = split_http(block)[1]
-                        key = int.from_bytes(hashlib.sha256(f"{file}:{place}".encode()).digest()[:8], "big", signed=True)
-                        rows.append((key, file, place, digest(payload), len(payload)))
+                for place, _, block in arc_records(_content(folder, file), Damage()):
+                    payload = split_http(block)[1]
+                    key = int.from_bytes(hashlib.sha256(f"{file}:{place}".encode()).digest()[:8], "big", signed=True)
+                    rows.append((key, file, place, digest(payload), len(payload)))
                 if rows:
-                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+                    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "file", "place", "digest", "bytes"])
 
-    return files.select("file").repartition(tasks_for(files.count()), "file").mapInArrow(read, "key long, file string, place long, digest string, bytes long")
+    return files.select("file").repartition(tasks_for(files.count()), "file").mapInArrow(read, "key long, file string, place string, digest string, bytes long")
+
+
+def _size(fields: dict[str, str], http: bytes) -> int | None:
+    """The size of a revisit's payload: what its own header tells, else that of the HTTP headers, if they tell one."""
+    told = fields.get("warc-payload-length", "")
+    found = None if told.isdigit() else re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+    return int(told) if told.isdigit() else int(found[1]) if found else None
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
-    """One row for each record of the WARC files: what its headers say, and what its payload is where it has one."""
+    """One row for each record of the WARC files: what its headers say, and what its payload is where it has one. Damaged records are left
+    out; ``written`` in what ``archive`` returns tells how many there should be."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -353,19 +431,14 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 rows, damage = [], Damage()
-                with _opened(folder, file) as source:
-                    for fields, block in read_warc(source, damage):
-                        http, payload = split_http(block)
-                        revisit = fields["warc-type"] == "revisit"
-                        if revisit:
-                            size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-                            found = fields["warc-payload-digest"].removeprefix("sha1:")
-                        else:
-                            size, found = len(payload), digest(payload)
-                            if found != fields["warc-payload-digest"].removeprefix("sha1:"):
-                                damage.n += 1
-                                continue
-                        rows.append((key_of(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-date"], fields["warc-type"], size, found, key_of(fields["warc-refers-to"]) if revisit else None))
+                for fields, block in warc_records(_content(folder, file), damage):
+                    http, payload = split_http(block)
+                    revisit, told = fields["warc-type"] == "revisit", fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                    size, found = (_size(fields, http), told) if revisit else (len(payload), digest(payload))
+                    if found != told:
+                        damage.n += 1
+                        continue
+                    rows.append((key_of(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-date"], fields["warc-type"], size, found, key_of(fields["warc-refers-to"]) if revisit else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -381,7 +454,11 @@ def archive(pages: DataFrame, folder: str, version: int = 1, min_bytes: int = 0)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    """Every page's record as read back from the archives."""
+    """Every page's record as read back from the archives; an error if one is missing."""
     folder = scratch.folder(spark, "archives")
     files = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_archives(files, f"{folder}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = scratch.table(read_archives(files, f"{folder}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    planned, written, damaged = files.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("planned", "written", "damaged")]).first()
+    if not planned == written == found.count():
+        raise ValueError(f"{planned} pages, {written} records written, {found.count()} read back, {damaged} damaged")
+    return found
