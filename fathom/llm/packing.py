@@ -15,6 +15,7 @@ from __future__ import annotations
 import array
 import heapq
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ CACHED_WORDS = 1_200_000
 #: Fixed value: the split pattern of tokenizers whose words can be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: A special token's mark, or the first byte of the marks U+0300 to U+036F, the only ones that letters of ASCII compose with.
+_CASED = re.compile(rb"<\||[\xcc\xcd]")
+
 _open: dict[str, _Ids | None] = {}
 _whole: dict = {}
 
@@ -96,8 +100,8 @@ def encode(text: str | None, tokenizer_path: str) -> bytes:
     if known is None:
         return array.array("I", _whole[tokenizer_path](text or "", add_special_tokens=False).ids).tobytes()
     raw = (text or "").encode()
-    # special tokens such as <|endoftext|> are the only words in which case matters
-    words = raw.lower().split() if b"<|" not in raw else [w if b"<|" in w else w.lower() for w in raw.split()]
+    # case matters in special tokens such as <|endoftext|>, and before a combining mark: a capital may have no composed form where the small letter has one
+    words = [w if _CASED.search(w) else w.lower() for w in raw.split()] if _CASED.search(raw) else raw.lower().split()
     return b"".join(map(known.__getitem__, words))
 
 
