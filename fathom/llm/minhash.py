@@ -280,5 +280,6 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
-    """The group of every document."""
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The group of every document. ``kept`` tells whether its id is the group's; ``deduplicate`` keeps a single row of each."""
+    found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
