@@ -40,6 +40,7 @@ class TimeSeriesSettings(BaseModel):
     window: int = Field(52, ge=1)
     n_out: int = Field(16, ge=1)
     test_size: float = Field(0.2, ge=0, lt=1)
+    block_rows: int | None = Field(None, ge=1)
 
 
 class ModelSettings(BaseModel):

@@ -139,6 +139,35 @@ def step_intervals(rows: DataFrame, confidence: float = 0.95) -> DataFrame:
     return out.withColumn("lower", _p() - z * F.col("_s")).withColumn("upper", _p() + z * F.col("_s")).drop("_s", "_st")
 
 
+def residual_moments(rows: DataFrame, by: tuple[str, ...] = ("bins", "step")) -> DataFrame:
+    """by, n, mean, m2 (sum of squared differences from the mean) of the residuals; rows without one are left out."""
+    e = _a() - _p()
+    return rows.where(e.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("mean"), (F.var_pop(e) * F.count("*")).alias("m2"))
+
+
+def merged_moments(one: DataFrame, other: DataFrame, by: tuple[str, ...] = ("bins", "step")) -> DataFrame:
+    """The moments of the rows of both, from the moments alone. What comes in is a row a group, whatever was counted."""
+
+    def joined(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        share = b["n"] / n
+        return F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    every = one.select(*by, "n", "mean", "m2").unionByName(other.select(*by, "n", "mean", "m2")).where("n > 0")
+    parts = every.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))).alias("_parts"))  # two of a group at most
+    return parts.select(*by, F.aggregate("_parts", none, joined).alias("_m")).select(*by, "_m.*")
+
+
+def moment_intervals(rows: DataFrame, moments: DataFrame, confidence: float = 0.95, sample: bool = True, by: tuple[str, ...] = ("bins", "step")) -> DataFrame:
+    """``steps`` with bounds at z times the deviation that the moments of their group tell (null for groups without one, and for a sample of one)."""
+    spread = F.sqrt(F.col("m2") / F.when(F.col("n") > int(sample), F.col("n") - int(sample)))
+    known = moments.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], spread.alias("_s"))  # one row a group
+    out = rows.join(known, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], "left")
+    z = z_value(confidence)
+    return out.withColumn("lower", _p() - z * F.col("_s")).withColumn("upper", _p() + z * F.col("_s")).drop("_s", *[f"_k{i}" for i in range(len(by))])
+
+
 def quantile_forecasts(forecasts: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """The point forecast plus each quantile of the residuals, as point, q10, q25 ... All quantiles come from one exact selection."""
     found = selection.quantiles(forecasts, _a() - _p(), quantiles)

@@ -8,16 +8,56 @@ from pyspark.sql import functions as F
 KEYS = ("sku", "store_id")
 
 
-def sliding_windows(series: DataFrame, window: int, n_out: int, features: tuple[str, ...] = ("qty",), target: str = "qty", shift: int = 0, keys=KEYS, order: str = "period", include_last: bool = False) -> DataFrame:
+#: Days (or units of a number) of a series that are numbered together where series are cut into blocks.
+CHUNK = 1024
+
+
+def in_blocks(series: DataFrame, rows: int, before: int = 0, after: int = 0, keys=KEYS, order: str = "period", chunk: int = CHUNK) -> DataFrame:
+    """Series cut into blocks of ``rows`` rows, so that one of any length is no single task: each row with _rn (from 0), _n (rows of its series),
+    _block, and _own: false for copies that a block gets of the last ``before`` rows of the block before it and the first ``after`` rows of the
+    one behind. Window functions over (keys, _block) in the order of _rn then see, for rows of their own, what they would see in the whole series.
+
+    Numbers come from prefix sums of the sizes of time chunks; ``order`` is a date or a number, and chunks are ``chunk`` days or units long.
+    """
+    if max(before, after) > rows:
+        raise ValueError("a block has to be at least as long as what it borrows")
+    kind = dict(series.dtypes)[order]
+    place = F.unix_date(F.col(order).cast("date")) if kind.startswith(("date", "timestamp")) else F.col(order)
+    # dealt by chunk and by block in so many words: rows that lie by series already would else be left there
+    put = series.withColumn("_chunk", F.floor(place / chunk)).repartition(*keys, "_chunk")
+    whole = Window.partitionBy(*keys)
+    sizes = put.groupBy(*keys, "_chunk").agg(F.count("*").alias("_c")).withColumns({"_before": F.sum("_c").over(whole.orderBy("_chunk")) - F.col("_c"), "_n": F.sum("_c").over(whole)})
+    known = sizes.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate((*keys, "_chunk"))], "_before", "_n")  # one row a series and chunk
+    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order)) - 1
+    met = put.withColumn("_in", inside).join(known, [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate((*keys, "_chunk"))])
+    met = met.withColumn("_rn", F.col("_in") + F.col("_before")).select(*series.columns, "_rn", "_n")
+    own, within = F.floor(F.col("_rn") / rows), F.col("_rn") % rows
+    copies = F.array(F.lit(0), F.when((own > 0) & (within < after), F.lit(-1)), F.when(within >= rows - before, F.lit(1)) if before else F.lit(None).cast("int"))
+    spread = met.withColumn("_at", F.explode(F.filter(copies, lambda c: c.isNotNull())))
+    return spread.withColumn("_block", own + F.col("_at")).withColumn("_own", F.col("_at") == 0).drop("_at").repartition(*keys, "_block")
+
+
+def sliding_windows(series: DataFrame, window: int, n_out: int, features: tuple[str, ...] = ("qty",), target: str = "qty", shift: int = 0, keys=KEYS, order: str = "period", include_last: bool = False, block_rows: int | None = None) -> DataFrame:
     """One row a window: window_id, n_windows, an array x_<feature> of each feature and the target array y.
 
     One shuffle on the series; all arrays share one sort. As in the usual count, the last possible window is left out.
+    With ``block_rows``, series are cut into blocks of so many rows, for series that are too long for one task.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
     span = window + n_out + shift - bool(include_last)
-    columns = {"window_id": F.row_number().over(w), "n_windows": F.count("*").over(Window.partitionBy(*keys)) - span, "y": F.collect_list(target).over(w.rowsBetween(window + shift, window + shift + n_out - 1))}
+    if block_rows is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        columns = {"window_id": F.row_number().over(w), "n_windows": F.count("*").over(Window.partitionBy(*keys)) - span}
+        rows = series
+    else:
+        rows = in_blocks(series, max(block_rows, window + shift + n_out), after=window + shift + n_out - 1, keys=keys, order=order)
+        w = Window.partitionBy(*keys, "_block").orderBy("_rn")
+        columns = {"window_id": (F.col("_rn") + 1).cast("int"), "n_windows": F.col("_n") - span}
+    columns |= {"y": F.collect_list(target).over(w.rowsBetween(window + shift, window + shift + n_out - 1))}
     columns |= {f"x_{c}": F.collect_list(c).over(w.rowsBetween(0, window - 1)) for c in features}
-    return series.withColumns(columns).where("window_id <= n_windows")
+    out = rows.withColumns(columns)
+    if block_rows is not None:
+        out = out.where("_own").drop("_own", "_block", "_rn", "_n")
+    return out.where("window_id <= n_windows")
 
 
 def chrono_split(windows: DataFrame, test_size: float = 0.2) -> DataFrame:
@@ -82,12 +122,17 @@ def round_robin(batched: DataFrame, group: str = "bins") -> DataFrame:
     return each.join(F.broadcast(groups)).withColumn("turn", ahead.cast("int")).drop("_groups")
 
 
-def decompose(series: DataFrame, kernel: int, column: str = "qty", keys=KEYS, order: str = "period") -> DataFrame:
-    """Centred moving mean (over what is there at the edges) and the rest. The kernel is odd."""
+def decompose(series: DataFrame, kernel: int, column: str = "qty", keys=KEYS, order: str = "period", block_rows: int | None = None) -> DataFrame:
+    """Centred moving mean (over what is there at the edges) and the rest. The kernel is odd. ``block_rows``: see ``sliding_windows``."""
     if kernel % 2 == 0:
         raise ValueError("the kernel of a decomposition is odd")
-    trend = F.avg(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(kernel // 2), kernel // 2))
-    return series.withColumn("trend", trend).withColumn("seasonal", F.col(column) - F.col("trend"))
+    half = kernel // 2
+    rows, w = series, Window.partitionBy(*keys).orderBy(order)
+    if block_rows is not None:
+        rows, w = in_blocks(series, max(block_rows, half), half, half, keys, order), Window.partitionBy(*keys, "_block").orderBy("_rn")
+    out = rows.withColumn("trend", F.avg(column).over(w.rowsBetween(-half, half)))
+    out = out if block_rows is None else out.where("_own").drop("_own", "_block", "_rn", "_n")
+    return out.withColumn("seasonal", F.col(column) - F.col("trend"))
 
 
 def patches(steps: Column, size: int, stride: int | None = None) -> Column:
@@ -98,10 +143,14 @@ def patches(steps: Column, size: int, stride: int | None = None) -> Column:
     return F.transform(starts, lambda i: F.slice(padded, i, size))
 
 
-def causal_convolution(series: DataFrame, taps: tuple[float, ...], dilation: int = 1, column: str = "qty", keys=KEYS, order: str = "period") -> DataFrame:
-    """Sum of taps[j] * value j * dilation steps ago; nothing before the start."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return series.withColumn("conv", sum((t * F.coalesce(F.lag(column, j * dilation).over(w), F.lit(0.0)) for j, t in enumerate(taps)), F.lit(0.0)))
+def causal_convolution(series: DataFrame, taps: tuple[float, ...], dilation: int = 1, column: str = "qty", keys=KEYS, order: str = "period", block_rows: int | None = None) -> DataFrame:
+    """Sum of taps[j] * value j * dilation steps ago; nothing before the start. ``block_rows``: see ``sliding_windows``."""
+    reach = (len(taps) - 1) * dilation
+    rows, w = series, Window.partitionBy(*keys).orderBy(order)
+    if block_rows is not None:
+        rows, w = in_blocks(series, max(block_rows, reach), before=reach, keys=keys, order=order), Window.partitionBy(*keys, "_block").orderBy("_rn")
+    out = rows.withColumn("conv", sum((t * F.coalesce(F.lag(column, j * dilation).over(w), F.lit(0.0)) for j, t in enumerate(taps)), F.lit(0.0)))
+    return out if block_rows is None else out.where("_own").drop("_own", "_block", "_rn", "_n")
 
 
 def linear_resize(steps: Column, size: int) -> Column:

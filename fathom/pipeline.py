@@ -116,7 +116,7 @@ class ForecastPipeline:
         t = self.settings.timeseries
         codes = sorted(c for c in rows.columns if c.startswith("encoded_"))
         about = F.concat(F.array(*[F.col(c) for c in CALENDAR]), *[F.col(c).cast("array<double>") for c in codes])
-        cut = windows.sliding_windows(rows.withColumn("_about", about), t.window, t.n_out, ("qty_scaled", "_about"), "qty_scaled").withColumnRenamed("x_qty_scaled", "x_qty")
+        cut = windows.sliding_windows(rows.withColumn("_about", about), t.window, t.n_out, ("qty_scaled", "_about"), "qty_scaled", block_rows=t.block_rows).withColumnRenamed("x_qty_scaled", "x_qty")
         out = cut.withColumn("inputs", F.concat("x_qty", F.element_at("x__about", -1)))
         return windows.chrono_split(out.select(*KEYS, "period", "bins", "window_id", "n_windows", "x_qty", "inputs", "y"), t.test_size)
 
@@ -184,12 +184,29 @@ class ForecastPipeline:
         found = evaluation.cluster_intervals(self._test(), confidence)
         return found.select(*KEYS, "window_id", "bins", "actual", "prediction", "lower_bound", "upper_bound", F.lit(confidence).alias("confidence"), "y", "yhat")
 
-    def predict_steps(self, confidence: float = 0.95) -> DataFrame:
-        """One row a test window and step, in units of the ledger, with bounds from the residuals of that step."""
-        steps = evaluation.steps(self._test(), *KEYS, "window_id", "bins")
+    def _units(self, scored: DataFrame) -> DataFrame:
+        """One row a window and step, in units of the ledger."""
+        steps = evaluation.steps(scored, *KEYS, "window_id", "bins")
         known = self.tables["scaler"].select(F.col("bins").alias("_g"), "mean", "std")
-        units = steps.join(known, F.col("bins") == F.col("_g")).withColumns({c: F.col(c) * F.col("std") + F.col("mean") for c in ("actual", "prediction")})
-        return evaluation.step_intervals(units, confidence).select(*KEYS, "window_id", "bins", "step", "actual", "prediction", "lower", "upper")
+        return steps.join(known, F.col("bins") == F.col("_g")).withColumns({c: F.col(c) * F.col("std") + F.col("mean") for c in ("actual", "prediction")}).drop("_g", "mean", "std")
+
+    def predict_steps(self, confidence: float = 0.95) -> DataFrame:
+        """One row a test window and step, in units of the ledger, with bounds from the residuals of that step; from those of cluster and step
+        that ``calibrate`` has stored, where it has."""
+        units = self._units(self._test())
+        found = evaluation.moment_intervals(units, self.tables["residuals"], confidence) if "residuals" in self.tables else evaluation.step_intervals(units, confidence)
+        return found.select(*KEYS, "window_id", "bins", "step", "actual", "prediction", "lower", "upper")
+
+    def calibrate(self, raw: DataFrame | None = None) -> ForecastPipeline:
+        """Store the moments of the residuals by cluster and step: of the test windows, or of all windows of another ledger, merged with
+        those that are stored. Earlier ledgers are not read again."""
+        scored = self._test() if raw is None else self._scored(self._windows(self._applied(self.read(raw))))
+        new = evaluation.residual_moments(self._units(scored))
+        old = self.tables.get("residuals")
+        path = shared.folder(self.spark, "residuals")
+        sinks.write_parquet(new if old is None else evaluation.merged_moments(old, new), path)
+        self.tables["residuals"] = self.spark.read.parquet(path)
+        return self
 
     def predict_quantiles(self) -> DataFrame:
         """One row a test window: the forecast, and with each of the settings' quantiles of all residuals added."""

@@ -182,6 +182,12 @@ def sliding_windows(spark, sf):
     return windows.sliding_windows(kept(spark, sf), WINDOW, N_OUT).select(*KEY, "period", F.concat_ws(",", F.transform("x_qty", lambda x: x.cast("long").cast("string"))).alias("x"), F.concat_ws(",", F.transform("y", lambda x: x.cast("long").cast("string"))).alias("y"))
 
 
+def sliding_windows_blocks(spark, sf):
+    """The same windows from series cut into blocks of 64 rows."""
+    w = windows.sliding_windows(kept(spark, sf), WINDOW, N_OUT, block_rows=64)
+    return w.select(*KEY, "period", F.concat_ws(",", F.transform("x_qty", lambda x: x.cast("long").cast("string"))).alias("x"), F.concat_ws(",", F.transform("y", lambda x: x.cast("long").cast("string"))).alias("y"))
+
+
 def chrono_split(spark, sf):
     return labelled(spark, sf).select(*KEY, "n_windows", "split")
 
@@ -329,6 +335,14 @@ def causal_conv(spark, sf):
     return rounded(windows.causal_convolution(kept(spark, sf), (0.5, 0.3, 0.2), 2).select("sku", "store_id", "period", "conv"))
 
 
+def decomposition_blocks(spark, sf):
+    return rounded(windows.decompose(kept(spark, sf), 5, block_rows=32).select("sku", "store_id", "period", "trend", "seasonal"))
+
+
+def causal_conv_blocks(spark, sf):
+    return rounded(windows.causal_convolution(kept(spark, sf), (0.5, 0.3, 0.2), 2, block_rows=32).select("sku", "store_id", "period", "conv"))
+
+
 def linear_resize(spark, sf):
     p = F.posexplode(windows.linear_resize(F.col("y"), 6))
     return labelled(spark, sf).where("split = 'test'").select(*KEY, p.alias("at", "v")).select(*KEY, "at", r("v").alias("v"))
@@ -403,6 +417,14 @@ def step_intervals(spark, sf):
     return rounded(evaluation.step_intervals(steps, 0.9).select(*KEY, "step", "prediction", "lower", "upper"))
 
 
+def updated_intervals(spark, sf):
+    """Bounds from the residuals' moments by cluster and step: those of the even windows, brought up to date with those of the odd ones."""
+    steps = evaluation.steps(forecasts(spark, sf), *KEY, "bins")
+    old, new = (evaluation.residual_moments(steps.where(F.col("window_id") % 2 == k)) for k in (0, 1))
+    found = evaluation.moment_intervals(steps, evaluation.merged_moments(old, new), 0.9)
+    return rounded(found.select(*KEY, "step", "prediction", "lower", "upper"))
+
+
 def pipeline_forecasts(spark, sf):
     """The whole forecast pipeline over the ledger: clusters by KMeans, scaled windows, a ridge regression by cluster."""
     settings = Settings.of({"timeseries": {"window": WINDOW, "n_out": N_OUT, "test_size": TEST}, "training": {"num_epochs": 3}})
@@ -475,7 +497,7 @@ QUERIES = {
     "causal_conv": causal_conv, "linear_resize": linear_resize, "positional_encoding": positional_encoding, "ensemble": ensemble, "elbow": elbow, "cluster_quality": cluster_quality, "batch_mean_metrics": batch_mean_metrics,
     "scan_csv": scan_csv, "sorted_ledger": sorted_ledger, "time_matrix": time_matrix, "step_intervals": step_intervals, "pipeline_forecasts": pipeline_forecasts, "training_history": training_history,
     "generate_data": generate_data, "cluster_kmeans": cluster_kmeans, "predict_ridge": predict_ridge,
-    "cluster_search": cluster_search, "training_loop": training_loop, "tuned_trials": tuned_trials, "predict_effects": predict_effects,
+    "updated_intervals": updated_intervals, "sliding_windows_blocks": sliding_windows_blocks, "decomposition_blocks": decomposition_blocks, "causal_conv_blocks": causal_conv_blocks, "cluster_search": cluster_search, "training_loop": training_loop, "tuned_trials": tuned_trials, "predict_effects": predict_effects,
 }
 
 __all__ = ["QUERIES"]

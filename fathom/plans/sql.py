@@ -149,6 +149,10 @@ _QUERIES = {
     "cluster_quality": """SELECT round(avg(m), 6) AS davies_bouldin, round(any_value(i), 6) AS inertia FROM (SELECT a.b, max((a.s + o.s) / sqrt((a.x - o.x) ** 2 + (a.y - o.y) ** 2)) AS m FROM d a JOIN d o ON a.b <> o.b GROUP BY 1), (SELECT sum(ss) AS i FROM d)""",
     "batch_mean_metrics": f"SELECT round(avg(a), 6) AS mse, round(avg(b), 6) AS mae FROM (SELECT avg((actual - prediction) ** 2) AS a, avg(abs(actual - prediction)) AS b FROM (SELECT *, (row_number() OVER (PARTITION BY bins ORDER BY {_K}) - 1) // 128 AS batch_no FROM forecasts) GROUP BY bins, batch_no)",
 }
+#: The same rows from series in blocks.
+_QUERIES |= {f"{name}_blocks": _QUERIES[name] for name in ("sliding_windows", "decomposition", "causal_conv")}
+_QUERIES["updated_intervals"] = f"""SELECT {_K}, step, round(prediction, 6) AS prediction, round(prediction - 1.6448536269514715 * s, 6) AS lower, round(prediction + 1.6448536269514715 * s, 6) AS upper
+  FROM (SELECT f.*, stddev_samp(actual - prediction) OVER (PARTITION BY bins, step) AS s FROM (SELECT sku, store_id, window_id, bins, t AS step, y[t + 1] AS actual, yhat[t + 1] AS prediction FROM (SELECT *, unnest(range(4))::INT AS t FROM forecasts)) f)"""
 _EXTRA = {
     "cluster_quality": """, cp AS (SELECT sku_code % 3 AS b, mean, standard_deviation AS sd FROM meta JOIN codes USING (sku)), cc AS (SELECT b, avg(mean) AS x, avg(sd) AS y FROM cp GROUP BY 1),
 d AS (SELECT b, x, y, avg(sqrt((mean - x) ** 2 + (sd - y) ** 2)) AS s, sum((mean - x) ** 2 + (sd - y) ** 2) AS ss FROM cp JOIN cc USING (b) GROUP BY 1, 2, 3)"""

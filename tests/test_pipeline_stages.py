@@ -101,3 +101,18 @@ def test_command_line_names_and_tuning(spark, sales, tmp_path, capsys):
     assert sorted(int(r["epochs"]) for r in trials) == [1, 1, 2, 3] and sum(r["state"] == "complete" for r in trials) == 1
     assert cli.main(["evaluate", "--data", f"{tmp_path}/d.parquet", "--model", f"{tmp_path}/t/model"], spark) == 0
     assert '"mse"' in capsys.readouterr().out
+
+
+def test_calibrated_intervals_are_kept_and_updated(spark, sales, staged, tmp_path):
+    raw = sales.withColumn("sales_qty", F.col("sales_qty") + 1)
+    staged.calibrate()
+    own = staged._units(staged._test())
+    spread = {(r["bins"], r["step"]): r["s"] for r in own.groupBy("bins", "step").agg(F.stddev_samp(F.col("actual") - F.col("prediction")).alias("s")).collect()}
+    rows = staged.predict_steps(0.9).limit(50).collect()
+    assert all(r["upper"] - r["prediction"] == pytest.approx(1.6448536269514715 * spread[r["bins"], r["step"]]) for r in rows)
+    staged.save(f"{tmp_path}/model")
+    again = ForecastPipeline.load(spark, f"{tmp_path}/model").calibrate(raw)
+    both = own.select("bins", "step", "actual", "prediction").unionByName(staged._units(staged._scored(staged._windows(staged._applied(staged.read(raw))))).select("bins", "step", "actual", "prediction"))
+    whole = {(r["bins"], r["step"]): (r["n"], r["v"]) for r in both.groupBy("bins", "step").agg(F.count("*").alias("n"), F.var_samp(F.col("actual") - F.col("prediction")).alias("v")).collect()}
+    got = {(r["bins"], r["step"]): (r["n"], r["m2"] / (r["n"] - 1)) for r in again.tables["residuals"].collect()}
+    assert set(got) == set(whole) and all(got[k][0] == whole[k][0] and got[k][1] == pytest.approx(whole[k][1]) for k in got)
