@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom import shared
 from fathom.config import Settings
 from fathom.models import effects, forecasters, training
+from fathom.models.router import Router
 from fathom.operators import clusters, evaluation, scaling, series, windows
 from fathom.pipeline import ForecastPipeline
 from fathom.sources import ledger as sources
@@ -476,6 +477,13 @@ def tuned_trials(spark, sf):
     return done.results()
 
 
+def routed_forecasts(spark, sf):
+    """Cluster 0 by seasonal repeats, the others by their windows' mean, in one plan."""
+    w = labelled(spark, sf).where("split = 'test'")
+    found = Router.of({0: ("seasonal_naive", {"season": SEASON}), 1: "mean", 2: "mean"}, n_out=N_OUT).predict(w)
+    return rounded(flat(found).select(*KEY, "bins", "actual", "prediction"))
+
+
 def predict_effects(spark, sf):
     """Forecasts of a ridge regression with an effect of each store."""
     w = labelled(spark, sf)
@@ -497,7 +505,7 @@ QUERIES = {
     "causal_conv": causal_conv, "linear_resize": linear_resize, "positional_encoding": positional_encoding, "ensemble": ensemble, "elbow": elbow, "cluster_quality": cluster_quality, "batch_mean_metrics": batch_mean_metrics,
     "scan_csv": scan_csv, "sorted_ledger": sorted_ledger, "time_matrix": time_matrix, "step_intervals": step_intervals, "pipeline_forecasts": pipeline_forecasts, "training_history": training_history,
     "generate_data": generate_data, "cluster_kmeans": cluster_kmeans, "predict_ridge": predict_ridge,
-    "updated_intervals": updated_intervals, "sliding_windows_blocks": sliding_windows_blocks, "decomposition_blocks": decomposition_blocks, "causal_conv_blocks": causal_conv_blocks, "cluster_search": cluster_search, "training_loop": training_loop, "tuned_trials": tuned_trials, "predict_effects": predict_effects,
+    "updated_intervals": updated_intervals, "sliding_windows_blocks": sliding_windows_blocks, "decomposition_blocks": decomposition_blocks, "causal_conv_blocks": causal_conv_blocks, "cluster_search": cluster_search, "training_loop": training_loop, "tuned_trials": tuned_trials, "predict_effects": predict_effects, "routed_forecasts": routed_forecasts,
 }
 
 __all__ = ["QUERIES"]

@@ -153,6 +153,7 @@ _QUERIES = {
 _QUERIES |= {f"{name}_blocks": _QUERIES[name] for name in ("sliding_windows", "decomposition", "causal_conv")}
 _QUERIES["updated_intervals"] = f"""SELECT {_K}, step, round(prediction, 6) AS prediction, round(prediction - 1.6448536269514715 * s, 6) AS lower, round(prediction + 1.6448536269514715 * s, 6) AS upper
   FROM (SELECT f.*, stddev_samp(actual - prediction) OVER (PARTITION BY bins, step) AS s FROM (SELECT sku, store_id, window_id, bins, t AS step, y[t + 1] AS actual, yhat[t + 1] AS prediction FROM (SELECT *, unnest(range(4))::INT AS t FROM forecasts)) f)"""
+_QUERIES["routed_forecasts"] = f"SELECT {_K}, bins, round(actual, 6) AS actual, round(CASE WHEN bins = 0 THEN prediction ELSE 4 * list_sum(x) / 8 END, 6) AS prediction FROM forecasts"
 _EXTRA = {
     "cluster_quality": """, cp AS (SELECT sku_code % 3 AS b, mean, standard_deviation AS sd FROM meta JOIN codes USING (sku)), cc AS (SELECT b, avg(mean) AS x, avg(sd) AS y FROM cp GROUP BY 1),
 d AS (SELECT b, x, y, avg(sqrt((mean - x) ** 2 + (sd - y) ** 2)) AS s, sum((mean - x) ** 2 + (sd - y) ** 2) AS ss FROM cp JOIN cc USING (b) GROUP BY 1, 2, 3)"""
