@@ -86,13 +86,15 @@ def suffix_rates(urls: DataFrame, column: str) -> DataFrame:
 
 
 def _rate(column: str, prior: float) -> Column:
-    """The smoothed share of blocked URLs of a suffix in ``folds``, for labelled rows without their own fold."""
+    """The smoothed share of blocked URLs of a suffix in ``folds``, for labelled rows without their own fold. Those of the first fold get what a
+    suffix without labels has: else the trees, to which a suffix's other labels tell nearly all, would learn nothing for suffixes that they never saw."""
     others = F.filter("folds", lambda _, i: F.col("label").isNull() | (i != F.col("fold")))
 
     def total(field: str) -> Column:
         return F.aggregate(others, F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0.0)))
 
-    return F.when(F.col("folds").isNull(), F.lit(prior)).otherwise((total("bad") + SMOOTHING * prior) / (total("all") + SMOOTHING)).alias(f"{column}_rate")
+    unseen = F.col("folds").isNull() | (F.col("label").isNotNull() & (F.col("fold") == 0))
+    return F.when(unseen, F.lit(prior)).otherwise((total("bad") + SMOOTHING * prior) / (total("all") + SMOOTHING)).alias(f"{column}_rate")
 
 
 def score(urls: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -120,11 +122,12 @@ def _prepared(pages: DataFrame, id_column: str, url_column: str, rules) -> DataF
     return scratch.table(urls.withColumn("label", label), "urls")
 
 
-def held_out(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, threshold: float = 0.5, every: int = 4) -> DataFrame:
+def held_out(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, threshold: float = 0.5, every: int = 4, by: str = "host_suffix") -> DataFrame:
     """One row: how many labelled URLs are of suffixes held out (one in ``every``, by hash), how many of them the trees, trained on
-    the others, judge as their label says, and how many the more common label would."""
+    the others, judge as their label says, and how many the more common label would. ``by``: what is held out as a whole, a column of
+    ``lexical`` such as host_suffix, host or url; among few suffixes none that is held out may have a label."""
     urls = _prepared(pages, id_column, url_column, rules).withColumn("truth", F.col("label"))
-    hidden = F.pmod(F.xxhash64("host_suffix"), F.lit(every)) == 0
+    hidden = F.pmod(F.xxhash64(by), F.lit(every)) == 0
     scored = score(urls.withColumn("label", F.when(~hidden, F.col("label")))).where(hidden & F.col("truth").isNotNull())
     right = ((F.col("blocked") > threshold).cast("double") == F.col("truth")).cast("long")
     return scored.agg(F.count("*").alias("n"), F.sum(right).alias("n_right"), F.greatest(F.sum("truth"), F.sum(1 - F.col("truth"))).cast("long").alias("n_common"))
