@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import scratch, texts, wordhash
+from fathom.llm import scratch, skew, texts, wordhash
 from fathom.llm.components import components
 
 WORDS = 5
@@ -255,8 +255,11 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = keyed(docs, id_column, text_column)
     base = scratch.table(sketches(rows), "sketches")
     sets_of, place = ["n_shingles", "s1", "s2"], F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    first = base.where("n_shingles > 0").groupBy(*sets_of).agg(F.min(place).alias("rep"))
-    member = scratch.table(base.select("rid", "doc_id", *sets_of).join(first, sets_of, "left").select("rid", "doc_id", "n_shingles", F.coalesce("rep", place).alias("rep")), "members")
+    first = scratch.table(base.where("n_shingles > 0").groupBy(*sets_of).agg(F.min(place).alias("rep"), F.count("*").alias("_n")), "first")
+    # a set that very many documents share is looked up where they lie; documents without one stand for themselves
+    met = skew.looked_up(base.where("n_shingles > 0").select("rid", "doc_id", *sets_of), first, sets_of, "_n").select("rid", "doc_id", "n_shingles", "rep")
+    alone = base.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", place.alias("rep"))
+    member = scratch.table(met.unionByName(alone).withColumn("node", F.col("rep.rid")), "members")
     chosen = base.where("n_shingles > 0").join(first, base.rid == first.rep.rid, "left_semi").dropDuplicates(["rid"])
     reps = scratch.table(chosen.select("rid", "doc_id", "n_shingles", "bands"), "reps")
     labels = link(reps, rows)
@@ -264,7 +267,9 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     known = labels.join(reps.select(F.col("rid").alias("node"), place.alias("place")), "node")
     best = known.groupBy("component").agg(F.min("place").alias("best"))
     judged = labels.join(best, "component").select("node", "best")
-    return member.join(judged, member.rep.rid == judged.node, "left").select("rid", "doc_id", "n_shingles", F.coalesce("best", "rep").alias("first"))
+    counts = member.groupBy("node").agg(F.count("*").alias("_n"))
+    known = scratch.table(counts.join(judged, "node", "left"), "judged")
+    return skew.looked_up(member, known, ["node"], "_n").select("rid", "doc_id", "n_shingles", F.coalesce("best", "rep").alias("first"))
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
