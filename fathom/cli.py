@@ -25,11 +25,12 @@ def parser() -> argparse.ArgumentParser:
         for flag, options in flags:
             one.add_argument(flag, **options)
 
+    cost = ("--run-metrics", {"help": "what each step has cost, as CSV"})
     data, config, output = ("--data", {"required": True}), ("--config", {"help": "settings as YAML"}), ("--output", {"required": True})
     model = ("--model", {"required": True, "help": "folder of a saved model"})
-    step("train", "fit and save a model", data, config, output)
-    step("tune", "train many settings of the linear model, most of them not to the end; a table of trials and the best model", data, config, output)
-    step("evaluate", "errors on the last windows of a ledger", data, model, ("--output", {"help": "JSON file"}))
+    step("train", "fit and save a model", data, config, output, cost)
+    step("tune", "train many settings of the linear model, most of them not to the end; a table of trials and the best model", data, config, output, cost)
+    step("evaluate", "errors on the last windows of a ledger", data, model, ("--output", {"help": "JSON file"}), cost)
     step("predict", "forecasts as CSV", data, model, output, ("--confidence", {"type": float, "default": 0.95}))
     counts = [(f"--{n}", {"type": int, "default": d}) for n, d in (("days", 1460), ("products", 100), ("stores", 20), ("seed", 42))]
     step("generate-data", "a synthetic ledger as CSV", output, *counts)
@@ -42,22 +43,31 @@ def _settings(path: str | None) -> Settings:
     return (Settings.from_yaml(path) if path else Settings()).with_environment()
 
 
+def _cost(done: ForecastPipeline, path: str | None) -> None:
+    if path:
+        sinks.write_csv(done.run_metrics().coalesce(1), path)
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "train":
         done = ForecastPipeline(spark, _settings(args.config)).load_and_preprocess(args.data).create_datasets().train()
         done.save(args.output)
         print(sinks.metrics_json(done.evaluate()))
+        _cost(done, args.run_metrics)
     elif args.command == "tune":
         done = ForecastPipeline(spark, _settings(args.config)).load_and_preprocess(args.data).create_datasets()
         trials = done.tune(f"{args.output}/study")
         sinks.write_csv(trials, f"{args.output}/trials.csv")
         done.save(f"{args.output}/model")
         print(sinks.metrics_json(done.evaluate()))
+        _cost(done, args.run_metrics)
     elif args.command == "evaluate":
-        metrics = ForecastPipeline.load(spark, args.model).restore(args.data).evaluate()
+        done = ForecastPipeline.load(spark, args.model).restore(args.data)
+        metrics = done.evaluate()
         print(sinks.metrics_json(metrics))
         if args.output:
             sinks.write_metrics(metrics, args.output)
+        _cost(done, args.run_metrics)
     elif args.command == "predict":
         sinks.write_csv(ForecastPipeline.load(spark, args.model).restore(args.data).predict(args.confidence).drop("y", "yhat"), args.output)
     elif args.command == "generate-data":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom import shared, state
 from fathom.config import Settings
 from fathom.errors import ConfigurationError, NotReadyError, TrainingError
+from fathom.metering import Meter, metered
 from fathom.models import effects, forecasters, training
 from fathom.operators import clusters, evaluation, scaling, series, windows
 from fathom.session import ship
@@ -36,6 +37,7 @@ class ForecastPipeline:
         self.tables: dict[str, DataFrame] = {}
         self.windows: DataFrame | None = None
         self.history: DataFrame | None = None
+        self.meter = Meter(spark)
         ship(spark)
 
     def _need(self, what: object, step: str) -> None:
@@ -71,6 +73,7 @@ class ForecastPipeline:
         """The one-hot columns: those of the settings, else the store, and the promotion flag where there is one."""
         return self.settings.data.onehot_columns or ["store_id", *[c for c in ("is_promo_day",) if c in raw.columns]]
 
+    @metered
     def load_and_preprocess(self, source: str | DataFrame | None = None) -> ForecastPipeline:
         raw = self.read(source)
         d, t = self.settings.data, self.settings.timeseries
@@ -106,6 +109,7 @@ class ForecastPipeline:
         present, future = (scaling.time_features(F.col("period"), prefix, days) for prefix, days in (("p", 0), ("f", 7)))
         return out.withColumns(dict(zip(CALENDAR, [*present, *future])))
 
+    @metered
     def create_datasets(self) -> ForecastPipeline:
         self._need(self.series, "load_and_preprocess")
         self.windows = self._windows(self.series).persist()
@@ -129,6 +133,7 @@ class ForecastPipeline:
         self._need(self.windows, "create_datasets")
         return self.windows.where((F.col("sku") == sku) & (F.col("store_id") == store_id) & (F.col("window_id") == window_id))
 
+    @metered
     def train(self, folder: str | None = None) -> ForecastPipeline:
         """Fit the model of the settings. ``folder``: where ``linear`` keeps the tables of its epochs, and goes on from those that are there."""
         self._need(self.windows, "create_datasets")
@@ -149,6 +154,7 @@ class ForecastPipeline:
             self.tables["history"] = self.history
         return self
 
+    @metered
     def tune(self, folder: str | None = None) -> DataFrame:
         """Trials of the linear model with rates and decays of ``tuning``, pruned as it says; the best one becomes the model. The folder is the
         study: a run that was stopped goes on from the tables there. Returns a row a trial."""
@@ -197,6 +203,7 @@ class ForecastPipeline:
         found = evaluation.moment_intervals(units, self.tables["residuals"], confidence) if "residuals" in self.tables else evaluation.step_intervals(units, confidence)
         return found.select(*KEYS, "window_id", "bins", "step", "actual", "prediction", "lower", "upper")
 
+    @metered
     def calibrate(self, raw: DataFrame | None = None) -> ForecastPipeline:
         """Store the moments of the residuals by cluster and step: of the test windows, or of all windows of another ledger, merged with
         those that are stored. Earlier ledgers are not read again."""
@@ -221,6 +228,7 @@ class ForecastPipeline:
         self._need(self.tables.get("scaler"), "load_and_preprocess or load")
         return self.staged(series.with_clusters(self.prepared(raw), self.tables["clusters"], KEYS))
 
+    @metered
     def restore(self, source: str | DataFrame | None = None) -> ForecastPipeline:
         """Windows of a ledger by the state as it is, for predict and evaluate. Nothing is fitted."""
         rows = self._applied(self.read(source))
@@ -232,6 +240,11 @@ class ForecastPipeline:
         """Forecasts for all windows of another ledger with the state as it is."""
         return self._scored(self._windows(self._applied(self.read(raw)))).select(*KEYS, "window_id", "bins", "split", "actual", "prediction")
 
+    def run_metrics(self) -> DataFrame:
+        """What each step so far has cost: a row a step, see ``metering``. Forecasts and errors are lazy; they count where an action asks for them."""
+        return self.meter.table()
+
+    @metered
     def save(self, folder: str) -> None:
         self._need(self.tables.get("scaler"), "load_and_preprocess")
         state.save(folder, self.tables, {"settings": self.settings.model_dump()}, self.spark)
@@ -243,6 +256,7 @@ class ForecastPipeline:
         out.tables, out.history = tables, tables.get("history")
         return out
 
+    @metered
     def report(self, folder: str | None = None) -> None:
         """Forecasts as CSV, metrics as JSON, a summary as text, in ``output_dir`` if no folder is given."""
         folder = folder or self.settings.output_dir

@@ -433,6 +433,13 @@ def pipeline_forecasts(spark, sf):
     return done.predict().drop("y", "yhat")
 
 
+def pipeline_run_metrics(spark, sf):
+    """What each step of the forecast pipeline costs on the ledger; figures of the machine, so without SQL."""
+    settings = Settings.of({"timeseries": {"window": WINDOW, "n_out": N_OUT, "test_size": TEST}, "model": {"model_type": "effects"}})
+    done = ForecastPipeline(spark, settings).load_and_preprocess(ledger(spark, sf).select("date", "sku", "store_id", "qty", "color", "category")).create_datasets().train()
+    return done.calibrate().run_metrics()
+
+
 def training_history(spark, sf):
     w = labelled(spark, sf).persist()
     _, rows = forecasters.train_ridge(w, N_OUT, epochs=6)
@@ -503,7 +510,7 @@ QUERIES = {
     "top_skus_by_error": top_skus_by_error, "top_predictions": top_predictions, "ci_errorbars": ci_errorbars, "cluster_mean_prediction": cluster_mean_prediction, "prediction_summary": prediction_summary, "linspace_sample": linspace_sample,
     "loss_wmse": loss_wmse, "loss_pinball": loss_pinball, "loss_huber": loss_huber, "loss_combined": loss_combined, "loss_smape": loss_smape, "loss_mase": loss_mase, "decomposition": decomposition, "patches": patches,
     "causal_conv": causal_conv, "linear_resize": linear_resize, "positional_encoding": positional_encoding, "ensemble": ensemble, "elbow": elbow, "cluster_quality": cluster_quality, "batch_mean_metrics": batch_mean_metrics,
-    "scan_csv": scan_csv, "sorted_ledger": sorted_ledger, "time_matrix": time_matrix, "step_intervals": step_intervals, "pipeline_forecasts": pipeline_forecasts, "training_history": training_history,
+    "scan_csv": scan_csv, "sorted_ledger": sorted_ledger, "time_matrix": time_matrix, "step_intervals": step_intervals, "pipeline_forecasts": pipeline_forecasts, "pipeline_run_metrics": pipeline_run_metrics, "training_history": training_history,
     "generate_data": generate_data, "cluster_kmeans": cluster_kmeans, "predict_ridge": predict_ridge,
     "updated_intervals": updated_intervals, "sliding_windows_blocks": sliding_windows_blocks, "decomposition_blocks": decomposition_blocks, "causal_conv_blocks": causal_conv_blocks, "cluster_search": cluster_search, "training_loop": training_loop, "tuned_trials": tuned_trials, "predict_effects": predict_effects, "routed_forecasts": routed_forecasts,
 }
