@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -21,6 +21,8 @@ OFTEN = 4
 CAUTION = 0.5
 #: Words whose scores are held at once.
 CELLS = 200_000
+#: Chains up to which all moves of a step are scored in one array, which is quicker for few; results are the same.
+FEW = 16
 
 
 def shape(word: str) -> str:
@@ -54,10 +56,14 @@ def word_features(word: str) -> list[str]:
     return found
 
 
-def _check_digit(digits: str) -> bool:
+#: A digit's double, its two digits added up.
+_DOUBLED = bytes.maketrans(b"0123456789", b"0246813579")
+_NO_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
+
+
+def _check_digit(digits: bytes) -> bool:
     """Whether a number passes the Luhn check."""
-    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
-    return sum(doubled) % 10 == 0
+    return (sum(digits[::-2]) + sum(digits[-2::-2].translate(_DOUBLED)) - 48 * len(digits)) % 10 == 0
 
 
 _NUMBER = frozenset(b"0123456789+-.()/ ,")
@@ -68,9 +74,9 @@ _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 AGAIN = "again"
 
 
-def _run(text: str) -> str:
+def _run(text: bytes) -> str:
     """The feature of a run of numbers: how many digits in all, and whether their check digit fits."""
-    digits = "".join(re.findall(r"[0-9]", text[:200]))
+    digits = text.translate(None, _NO_DIGITS)
     return f"r={min(len(digits), 20)},{len(digits) >= 14 and _check_digit(digits)}"
 
 
@@ -83,7 +89,7 @@ def run_features(words: list[str]) -> list[list[str]]:
         while j < len(words) and set(words[j].encode()) <= _NUMBER and re.search("[0-9]", words[j]):
             j += 1
         for k in range(i, j):
-            out[k].append(_run(" ".join(words[i:j])))
+            out[k].append(_run(" ".join(words[i:j]).encode()))
         i = max(j, i + 1)
     return out
 
@@ -94,7 +100,7 @@ def number_runs(raw: bytes, data: np.ndarray, start: np.ndarray, end: np.ndarray
     some = np.flatnonzero((other[end] == other[start]) & (digit[end] > digit[start]))
     begins = np.flatnonzero((np.diff(some, prepend=-2) != 1) | fresh[some])
     for a, b in zip(some[begins].tolist(), some[np.append(begins[1:], len(some)) - 1].tolist() if len(some) else []):
-        yield a, b + 1, _run(raw[start[a] : end[b]].decode())
+        yield a, b + 1, _run(raw[start[a] : end[b]])
 
 
 _MARKS = b",.;:!?"
@@ -133,56 +139,94 @@ class Model:
         rows = [self.index[f] for f in word_features(word) if f in self.index]
         return self.weights[rows].sum(axis=0) if rows else np.zeros(self.weights.shape[1:], np.float32)
 
-    def decode(self, table: np.ndarray, row: np.ndarray, fresh: np.ndarray, first: np.ndarray, size: np.ndarray, take: np.ndarray, until: np.ndarray, runs: Iterator[tuple[int, int, str]], again: np.ndarray) -> np.ndarray:
+    def decode(self, table: np.ndarray, row: np.ndarray, fresh: np.ndarray, runs: Iterator[tuple[int, int, str]], again: np.ndarray) -> np.ndarray:
         """The best tag of each word. ``table``: word scores, ``row``: the table's row of each word, ``fresh``: the words that begin
-        a line, ``again``: those that are the word before. Chains of ``size`` words from ``first`` on are decoded by Viterbi; words take..until-1 get their tags from them."""
+        a line, ``again``: those that are the word before. Each line is one chain, decoded by Viterbi however long it is."""
         extra = np.zeros(len(row), np.int64)
         more = [np.zeros(len(self.tags), np.float32)]
         for a, b, feature in runs:
             if feature in self.index:
                 more.append(self.weights[self.index[feature], 0])
                 extra[a:b] = len(more) - 1
-        repeat = self.weights[self.index[AGAIN], 0] if AGAIN in self.index else more[0]
-        out = np.zeros(len(row), np.int8)
+        more, repeat = np.stack(more), self.weights[self.index[AGAIN], 0] if AGAIN in self.index else more[0]
         begins = np.append(fresh, True)
-        group = np.cumsum(size) // CELLS
-        for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.flatnonzero(np.diff(group, prepend=-1, append=-1)))):
-            a, b = int(first[lo]), int((first[lo:hi] + size[lo:hi]).max())
+
+        def emit(a: int, b: int) -> np.ndarray:
+            """Scores of words a..b-1, what their neighbours add included."""
             own = row[a:b]
-            emit = table[own, 0] + np.stack(more)[extra[a:b]]
-            emit[again[a:b]] += repeat
-            emit[:, 0] += CAUTION
-            emit[1:] += table[own[:-1], 1] * ~begins[a + 1 : b, None]
-            emit[:-1] += table[own[1:], 2] * ~begins[a + 1 : b, None]
-            order = lo + np.argsort(-size[lo:hi], kind="stable")
-            self._viterbi(emit, first[order] - a, size[order], take[order] - a, until[order] - a, out[a:b])
+            out = table[own, 0] + more[extra[a:b]]
+            out[again[a:b]] += repeat
+            out[:, 0] += CAUTION
+            left, right = max(a, 1), min(b, len(row) - 1)
+            out[left - a :] += table[row[left - 1 : b - 1], 1] * ~begins[left:b, None]
+            out[: right - a] += table[row[a + 1 : right + 1], 2] * ~begins[a + 1 : right + 1, None]
+            return out
+
+        out = np.zeros(len(row), np.int8)
+        first = np.flatnonzero(fresh)
+        size = np.diff(first, append=len(row))
+        long = size > CELLS
+        cut = np.diff(np.cumsum(size) // CELLS) != 0
+        edges = np.flatnonzero(np.concatenate([[True], cut | long[1:] | long[:-1], [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            a, b = int(first[lo]), int(first[hi - 1] + size[hi - 1])
+            if long[lo]:
+                out[a:b] = self._viterbi_long(emit, a, b)
+            else:
+                order = lo + np.argsort(-size[lo:hi], kind="stable")
+                self._viterbi(emit(a, b), first[order] - a, size[order], out[a:b])
         return out
 
-    def _viterbi(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray, take: np.ndarray, until: np.ndarray, out: np.ndarray) -> None:
+    def _step(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each chain and next tag the best score so far and the tag it comes from, the first of equal ones."""
+        m, k = state.shape
+        if m <= FEW:
+            every = state[:, :, None] + self.moves[:k]
+            return every.max(axis=1), every.argmax(axis=1)
+        best, came = state[:, :1] + self.moves[0], np.zeros((m, k), np.int8)
+        for s in range(1, k):
+            now = state[:, s : s + 1] + self.moves[s]
+            came[now > best] = s
+            np.maximum(best, now, out=best)
+        return best, came
+
+    def _viterbi(self, emit: np.ndarray, first: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
         """``out`` at the words of the chains; chains by falling size, so that those still going on are the first ones."""
-        k, longest = len(self.tags), int(size[0])
+        longest = int(size[0])
         going = np.searchsorted(-size, -np.arange(longest), side="left")  # chains longer than t
+        row = np.append(0, np.cumsum(going))
+        back = np.empty((row[-1], len(self.tags)), np.int8)
         state = emit[first] + self.moves[-1]
-        back = []
         for t in range(1, longest):
             m = int(going[t])
-            best = state[:m, :1] + self.moves[0]
-            came = np.zeros((m, k), np.int8)
-            for s in range(1, k):
-                now = state[:m, s : s + 1] + self.moves[s]
-                better = now > best
-                came[better] = s
-                np.maximum(best, now, out=best)
-            back.append(came)
+            best, back[row[t] : row[t + 1]] = self._step(state[:m])
             state[:m] = best + emit[first[:m] + t]
         tag = state.argmax(axis=1)
         for t in range(longest - 1, -1, -1):
             m = int(going[t])
-            at = first[:m] + t
-            mine = (at >= take[:m]) & (at < until[:m])
-            out[at[mine]] = tag[:m][mine]
+            out[first[:m] + t] = tag[:m]
             if t:
-                tag[:m] = back[t - 1][np.arange(m), tag[:m]]
+                tag[:m] = back[row[t] + np.arange(m), tag[:m]]
+
+    def _viterbi_long(self, emit: Callable[[int, int], np.ndarray], start: int, stop: int) -> np.ndarray:
+        """Tags of the one chain start..stop-1. Scores are made for ``CELLS`` words at a time; what is kept of all is a byte a word and tag."""
+        back = np.empty((stop - start, len(self.tags)), np.int8)
+        state = None
+        for a in range(start, stop, CELLS):
+            scores = emit(a, min(a + CELLS, stop))
+            for t in range(len(scores)):
+                if state is None:
+                    state = scores[:1] + self.moves[-1]
+                else:
+                    best, back[a - start + t] = self._step(state)
+                    state = best + scores[t]
+        out = np.empty(stop - start, np.int8)
+        tag = int(state.argmax())
+        for t in range(len(out) - 1, -1, -1):
+            out[t] = tag
+            if t:
+                tag = back[t, tag]
+        return out
 
 
 def train(sentences: list[list[str]], labels: list[list[str]], tags: tuple[str, ...], epochs: int = 80, rate: float = 0.2, ridge: float = 2e-4) -> Model:

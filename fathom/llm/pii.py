@@ -4,13 +4,12 @@ The field sees what the patterns can't: numbers without a country code, dots and
 addresses that are spelled out, secrets and keys, names after what introduces them, streets with house numbers. It is
 trained on a small labelled table (``training_table``: sentences that are written out from templates with word tags, at
 most ``MAX_TRAIN`` of them) when the query runs. Every word of every text is decoded, by Viterbi over batches of chains.
-A chain is a line; longer lines are cut into chains of ``PIECE`` words that overlap by ``OVERLAP``, and a word takes its
-tag from the chain in which it lies farther from an end. A pattern's match always stays; a span of the field is added
+A chain is a line, however long: the tags are those of the best path over all of it. A pattern's match always stays; a span of the field is added
 where it doesn't overlap one.
 
 Words of small letters alone (with a mark behind them, if any) are told apart by their length only, unless they are
 among the words that the labelled table knows; so most words need no look at their letters. Bounded: texts are taken a
-megabyte at a time, chains ``crf.CELLS`` words at a time.
+megabyte at a time (a longer one by itself), scores are made for ``crf.CELLS`` words at a time; of the longest chain a byte a word and tag is kept.
 
 Defined results: null text is empty; empty text has no spans; repeated rows are judged each for itself; an
 empty table gives an empty result; other columns are ignored.
@@ -34,7 +33,6 @@ KINDS = ("email", "ip", "card", "phone", "secret", "name", "street")
 BASE = 4
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 MAX_TRAIN = 1200
-PIECE, OVERLAP = 128, 32
 
 #: The patterns of the query's contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -260,7 +258,7 @@ def fit(table: DataFrame, max_rows: int = MAX_TRAIN) -> crf.Model:
 
 
 #: Punctuation around a span's first and last word. An opening bracket before digits belongs to a phone number.
-_BEFORE, _BEHIND = ".,;:!?\"'|", ".,;:!?\"'|)"
+_BEFORE, _BEHIND = ".,;:!?\"'|`#*", ".,;:!?\"'|`#*)]}>"
 
 
 class _Words:
@@ -308,20 +306,6 @@ def _lines(data: np.ndarray, start: np.ndarray, bounds: np.ndarray) -> np.ndarra
     return fresh
 
 
-def _pieces(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, size, first and last word to take tags for) of the chains; lines over PIECE words are cut."""
-    first = np.flatnonzero(fresh)
-    size = np.diff(first, append=len(fresh))
-    step = PIECE - OVERLAP
-    parts = np.maximum(1, -(-(size - OVERLAP) // step))
-    line = np.repeat(np.arange(len(first)), parts)
-    k = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
-    last = k == parts[line] - 1
-    start = first[line] + k * step
-    stop = np.where(last, first[line] + size[line], start + PIECE)
-    return start, stop - start, np.where(k > 0, start + OVERLAP // 2, start), np.where(last, stop, stop - OVERLAP // 2)
-
-
 def _chunk_spans(model: crf.Model, words: _Words, data: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of what the field finds in each text of a chunk, in code points of the text. ``data``, ``at``: of ``wordhash.parts``."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(at) - 1)]
@@ -331,7 +315,7 @@ def _chunk_spans(model: crf.Model, words: _Words, data: np.ndarray, at: np.ndarr
     end = wordhash.edges(data)[1]
     raw, fresh = data.tobytes(), _lines(data, start, np.searchsorted(start, at))
     row = words.look_up(raw, data, start, end, hashes)
-    tags = model.decode(words.table, row, fresh, *_pieces(fresh), crf.number_runs(raw, data, start, end, fresh), (np.diff(hashes, prepend=hashes[:1] + np.uint64(1)) == 0) & ~fresh)
+    tags = model.decode(words.table, row, fresh, crf.number_runs(raw, data, start, end, fresh), (np.diff(hashes, prepend=hashes[:1] + np.uint64(1)) == 0) & ~fresh)
     some = np.flatnonzero(tags)
     if not len(some):
         return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -52,7 +53,7 @@ def test_field_on_held_out_sentences(model):
 
 
 def test_every_word_is_decoded_whatever_the_batch(model, monkeypatch):
-    """Chunks, pieces and groups of chains change nothing but at the pieces' ends."""
+    """Chunks, groups of chains and chains decoded by themselves change nothing."""
     texts = [f"{'blend in ' * 40}{t} {'ordinary words ' * 30}\n{t}" for _, t, _ in HELD_OUT]
     whole = found(model, texts)
     assert all(len(s) >= 2 for s, (_, t, _) in zip(whole, HELD_OUT) if found(model, [t])[0])
@@ -91,3 +92,68 @@ def test_long_texts_take_time_in_proportion(model):
     numbers = " ".join(str(n) for n in np.random.default_rng(1).integers(0, 10**6, 200_000))
     found(model, [numbers, *["12 3"] * 511])
     assert time.monotonic() - began < 60
+
+
+def small_field(rng, k=4, words=9):
+    tags = tuple("abcd"[:k])
+    table = rng.normal(size=(words, 3, k)).astype(np.float32)
+    return crf.Model(tags, {crf.AGAIN: 0}, rng.normal(size=(1, 3, k)), rng.normal(size=(k + 1, k))), table
+
+
+def score(field, table, row, again, path):
+    """What the field gives a path of tags over one chain, word by word."""
+    total = field.moves[-1, path[0]] + sum(field.moves[a, b] for a, b in zip(path, path[1:]))
+    for t, tag in enumerate(path):
+        total += table[row[t], 0, tag] + crf.CAUTION * (tag == 0) + field.weights[0, 0, tag] * again[t]
+        total += table[row[t - 1], 1, tag] if t else 0
+        total += table[row[t + 1], 2, tag] if t + 1 < len(path) else 0
+    return float(total)
+
+
+def test_viterbi_equals_all_paths(monkeypatch):
+    """Chains of one to six words against the best of all paths: in one group, in groups, each by itself, and by either way to take a step."""
+    rng = np.random.default_rng(5)
+    field, table = small_field(rng)
+    sizes = rng.integers(1, 7, 60)
+    row, fresh = rng.integers(0, len(table), sizes.sum()), np.zeros(sizes.sum(), bool)
+    fresh[np.cumsum(sizes) - sizes] = True
+    again = (np.diff(row, prepend=-1) == 0) & ~fresh
+    want = []
+    for lo, n in zip(np.cumsum(sizes) - sizes, sizes):
+        paths = itertools.product(range(4), repeat=int(n))
+        want += max(paths, key=lambda p: score(field, table, row[lo : lo + n], again[lo : lo + n], p))
+    for cells, few in ((200_000, 0), (200_000, 100), (11, 0), (11, 16), (3, 16), (1, 0)):
+        monkeypatch.setattr(crf, "CELLS", cells)
+        monkeypatch.setattr(crf, "FEW", few)
+        assert field.decode(table, row, fresh, iter(()), again).tolist() == want, (cells, few)
+
+
+def test_a_line_is_one_chain_however_long(model, monkeypatch):
+    """A span in the middle of a line of many thousand words; the whole path scores at least as well as any that changes one tag."""
+    rng = np.random.default_rng(6)
+    field, table = small_field(rng)
+    row = rng.integers(0, len(table), 3000)
+    fresh, again = np.arange(3000) == 0, np.diff(row, prepend=-1) == 0
+    path = field.decode(table, row, fresh, iter(()), again)
+    monkeypatch.setattr(crf, "CELLS", 700)
+    assert (field.decode(table, row, fresh, iter(()), again) == path).all()
+    best = score(field, table, row, again, path)
+    for t in rng.integers(0, 3000, 25):
+        for tag in range(4):
+            other = path.copy()
+            other[t] = tag
+            assert score(field, table, row, again, other) <= best + 1e-3
+    texts = [f"{'ordinary words ' * 4000}{t} {'blend in ' * 4000}" for _, t, _ in HELD_OUT]
+    assert [len(s) for s in found(model, texts)] == [len(s) for s in found(model, [f"{'ordinary words ' * 20}{t} {'blend in ' * 20}" for _, t, _ in HELD_OUT])]
+
+
+def test_long_runs_of_numbers_are_summed_to_their_end():
+    for digits in ("4111111111111111", "4111111111111112", "7" * 300 + "12", "0" * 14, "59" * 401):
+        assert crf._check_digit(digits.encode()) == pii.luhn(digits)
+    body = "1234 " * 80
+    assert {crf._run(f"{body}{d}".encode()) for d in range(10)} == {"r=20,True", "r=20,False"}
+
+
+def test_marks_behind_a_span_are_not_in_it(model):
+    text = 'deploy with API_KEY = "Zk3vQ9aP1xYb7LmN2cRt5wEd"### set'
+    assert [text[lo:hi] for lo, _, hi in found(model, [text])[0]] == ["Zk3vQ9aP1xYb7LmN2cRt5wEd"]
