@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from fathom import shared
+from fathom.operators.windows import numbered
+
 TAU = 6.283185307179586
 #: Values of a column that is encoded by position; a vocabulary is one row that all tasks get.
 MAX_VOCABULARY = 10_000
@@ -76,6 +79,39 @@ def encode_multilabel(df: DataFrame, vocab: DataFrame, column: str) -> DataFrame
     return df.join(F.broadcast(vocab)).withColumn(f"encoded_{column}", F.transform("vocab", lambda v: F.array_contains(own, v).cast("int"))).drop("vocab")  # one row
 
 
+def fit_sparse(df: DataFrame, column: str) -> DataFrame:
+    """value, place and size: the distinct values of a column, as many as there are, numbered from 0 in their order, and how many they are.
+
+    Places are those of ``vocabulary``. The values are dealt by ranges, which are written to the shared folder with their
+    numbers; rows are numbered within ranges and added up over them, so no task holds all values. Null and empty values have no place.
+    """
+    spark = df.sparkSession
+    value = F.col(f"`{column}`").cast("string")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(value.alias("value")).where("value <> ''").distinct().repartitionByRange(ranges, "value").withColumn("_range", F.spark_partition_id())
+    path = shared.folder(spark, "values")
+    dealt.write.parquet(path)
+    stored = spark.read.schema("value string, _range int").parquet(path)
+    size = stored.agg(F.count("*").alias("size"))
+    placed = numbered(stored, (), [F.col("_range")], [F.col("value")])
+    return placed.join(F.broadcast(size)).select("value", F.col("_rn").alias("place"), "size")  # one row
+
+
+def encode_sparse(df: DataFrame, known: DataFrame, column: str, strict: bool = False) -> DataFrame:
+    """encoded_<column>, struct(place, size): a one-hot vector by the place of its one, for columns of any number of values.
+
+    ``known``: of ``fit_sparse``. Values that it doesn't know are null, all zeros so to speak, or an error if ``strict``; null stays
+    null. The two meet in a join by value: small dictionaries are broadcast by Spark, and values that hold a large share of the rows are split.
+    """
+    value, out = F.col(f"`{column}`").cast("string"), f"encoded_{column}"
+    codes = known.select(F.col("value").alias("_value"), F.struct("place", "size").alias(out))
+    met = df.drop(out).join(codes, value == F.col("_value"), "left")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit(f"unknown value in {column}: "), value)).cast("struct<place:bigint,size:bigint>")
+        met = met.withColumn(out, F.when(F.col(out).isNotNull() | value.isNull(), F.col(out)).otherwise(unknown))
+    return met.drop("_value")
+
+
 def calendar_columns(df: DataFrame) -> list[str]:
     """The numeric columns whose names tell a sine or cosine."""
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and ("cos" in f.name or "sin" in f.name)]

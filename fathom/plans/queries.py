@@ -166,6 +166,13 @@ def encode_onehot(spark, sf):
     return e.groupBy(F.concat_ws("", "encoded_category").alias("bits"), "category").agg(F.count("*").alias("n"))
 
 
+def encode_sparse(spark, sf):
+    """The parts of the ledger by their place among all parts, more than an encoding by arrays takes."""
+    rows = ledger(spark, sf).select("l_partkey", "qty")
+    e = scaling.encode_sparse(rows, scaling.fit_sparse(rows, "l_partkey"), "l_partkey")
+    return e.groupBy("l_partkey", "encoded_l_partkey.place", "encoded_l_partkey.size").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+
+
 def encode_multilabel(spark, sf):
     e = scaling.encode_multilabel(weekly(spark, sf), scaling.vocabulary(weekly(spark, sf), "color", True), "color")
     return e.groupBy(F.concat_ws("", "encoded_color").alias("bits"), "color").agg(F.count("*").alias("n"))
@@ -503,7 +510,7 @@ QUERIES = {
     "gapfill_weekly": gapfill_weekly, "cats_map": cats_map, "model_inputs": model_inputs, "predictor_frame": predictor_frame, "resample_daily": resample("1D"), "resample_weekly": weekly, "resample_monthly": resample("1M"),
     "resample_yearly": resample("1Y"), "resample_2w": resample("2W"), "resample_3m": resample("3M"), "resample_10d": resample("10D"), "distinct_counts": distinct_counts, "series_keys": series_keys, "metafeatures": metafeatures,
     "minmax_metafeatures": minmax_metafeatures, "scale_by_group": scale_by_group, "inverse_scale": inverse_scale, "outlier_clip": outlier_clip, "static_attributes": static_attributes, "encode_onehot": encode_onehot,
-    "encode_multilabel": encode_multilabel, "time_features_present": time_features("p", 0), "time_features_future": time_features("f", 7), "sliding_windows": sliding_windows, "chrono_split": chrono_split, "split_counts": split_counts,
+    "encode_multilabel": encode_multilabel, "encode_sparse": encode_sparse, "time_features_present": time_features("p", 0), "time_features_future": time_features("f", 7), "sliding_windows": sliding_windows, "chrono_split": chrono_split, "split_counts": split_counts,
     "flatten_horizon": flatten_horizon, "batches": batches, "round_robin_batches": round_robin_batches, "eval_metrics": eval_metrics, "metric_registry": metric_registry, "horizon_metrics": horizon_metrics,
     "quality_panel_metrics": quality_panel_metrics, "prediction_delta": prediction_delta, "predict_intervals_cluster": predict_intervals_cluster, "confidence_intervals": residual_intervals(True),
     "prediction_intervals": residual_intervals(False), "quantile_predictions": quantile_predictions, "quantile_triplet": quantile_triplet, "error_percentiles": error_percentiles, "residual_histogram": residual_histogram,

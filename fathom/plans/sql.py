@@ -90,6 +90,7 @@ _QUERIES = {
     "static_attributes": "SELECT sku, store_id, arg_min(color, period) AS color, arg_min(category, period) AS category FROM weekly GROUP BY 1, 2",
     "encode_onehot": _bits("category", False),
     "encode_multilabel": _bits("color", True),
+    "encode_sparse": "SELECT l_partkey, dense_rank() OVER (ORDER BY l_partkey::VARCHAR) - 1 AS place, count(*) OVER () AS size, n, qty FROM (SELECT l_partkey, count(*) AS n, sum(qty) AS qty FROM ledger GROUP BY 1)",
     "time_features_present": _features("p", 0),
     "time_features_future": _features("f", 7),
     "sliding_windows": f"SELECT {_K}, period, array_to_string(list_transform(x, lambda v: v::BIGINT::VARCHAR), ',') AS x, array_to_string(list_transform(y, lambda v: v::BIGINT::VARCHAR), ',') AS y FROM cut",

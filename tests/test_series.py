@@ -100,6 +100,34 @@ def test_outliers(spark, values, n, outside):
     assert max(abs(r["clipped"]) for r in rows) <= max(abs(v) for v in values) - (1 if outside else 0)
 
 
+def test_sparse_encoding(spark):
+    n = scaling.MAX_VOCABULARY + 1
+    # one value holds a third of all rows; a null, an empty one and a clashing column beside
+    rows = spark.range(n).select(F.concat(F.lit("v"), F.col("id") * 7919 % n).alias("c"), F.lit(1).alias("value"))
+    rows = rows.unionByName(spark.range(n // 2).select(F.lit("v7").alias("c"), F.lit(2).alias("value"))).unionByName(spark.createDataFrame([(None, 3), ("", 3)], "c string, value int"))
+    known = scaling.fit_sparse(rows, "c")
+    want = {v: (i, n) for i, v in enumerate(sorted(f"v{i}" for i in range(n)))}
+    assert {r["value"]: (r["place"], r["size"]) for r in known.collect()} == want
+    out = scaling.encode_sparse(rows, known, "c")
+    assert out.columns == ["c", "value", "encoded_c"] and out.count() == n + n // 2 + 2
+    assert all((r["encoded_c"] and tuple(r["encoded_c"])) == want.get(r["c"]) for r in out.collect())
+    # the place is where the array has its one
+    few = spark.createDataFrame([("b",), ("a",), ("é",), ("b",)], "c string")
+    both = scaling.encode_sparse(scaling.encode_onehot(few, scaling.vocabulary(few, "c"), "c").withColumnRenamed("encoded_c", "dense"), scaling.fit_sparse(few, "c"), "c").collect()
+    assert len(both) == 4 and all(r["dense"] == [int(i == r["encoded_c"]["place"]) for i in range(r["encoded_c"]["size"])] for r in both)
+
+
+def test_sparse_encoding_of_unknown_values(spark):
+    known = scaling.fit_sparse(spark.createDataFrame([("a",), ("b",)], "c string"), "c")
+    rows = spark.createDataFrame([("a",), ("z",), (None,)], "c string")
+    assert {r["c"]: r["encoded_c"] for r in scaling.encode_sparse(rows, known, "c").collect()} == {"a": (0, 2), "z": None, None: None}
+    with pytest.raises(Exception, match="unknown value in c: z"):
+        scaling.encode_sparse(rows, known, "c", strict=True).collect()
+    assert scaling.encode_sparse(rows.where("c <> 'z'"), known, "c", strict=True).count() == 1
+    nothing = scaling.fit_sparse(spark.createDataFrame([], "c string"), "c")
+    assert nothing.count() == 0 and scaling.encode_sparse(rows, nothing, "c").where("encoded_c is null").count() == 3
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([("red",), ("XL",), ("L",)], "c string")
     e = {r["c"]: "".join(map(str, r["encoded_c"])) for r in scaling.encode_multilabel(df, scaling.vocabulary(df, "c", True), "c").collect()}
