@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from fathom import shared
-from fathom.operators.windows import numbered
+from fathom.operators.windows import numbered_by_range
 
 TAU = 6.283185307179586
 #: Values of a column that is encoded by position; a vocabulary is one row that all tasks get.
@@ -85,15 +84,9 @@ def fit_sparse(df: DataFrame, column: str) -> DataFrame:
     Places are those of ``vocabulary``. The values are dealt by ranges, which are written to the shared folder with their
     numbers; rows are numbered within ranges and added up over them, so no task holds all values. Null and empty values have no place.
     """
-    spark = df.sparkSession
     value = F.col(f"`{column}`").cast("string")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(value.alias("value")).where("value <> ''").distinct().repartitionByRange(ranges, "value").withColumn("_range", F.spark_partition_id())
-    path = shared.folder(spark, "values")
-    dealt.write.parquet(path)
-    stored = spark.read.schema("value string, _range int").parquet(path)
-    size = stored.agg(F.count("*").alias("size"))
-    placed = numbered(stored, (), [F.col("_range")], [F.col("value")])
+    placed = numbered_by_range(df.select(value.alias("value")).where("value <> ''").distinct(), "value")
+    size = placed.agg(F.count("*").alias("size"))
     return placed.join(F.broadcast(size)).select("value", F.col("_rn").alias("place"), "size")  # one row
 
 

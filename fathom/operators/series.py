@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.errors import InsufficientDataError
 from fathom.functions.periods import Period
+from fathom.operators.windows import numbered_by_range
 
 KEYS = ("sku", "store_id")
 
@@ -46,9 +47,12 @@ def quality_filter(series: DataFrame, window: int, n_out: int, max_zeros_ratio:
     return series.withColumn("_n", n).withColumn("_z", zeros).where((F.col("_n") >= window + n_out + 2) & (F.col("_z") < max_zeros_ratio)).drop("_n", "_z")
 
 
-def sku_index(df: DataFrame, order: tuple[str, ...], sku: str = "sku") -> DataFrame:
-    """sku and sku_code, dense from 0 by first appearance. Only one row a sku meets in the numbering task."""
+def sku_index(df: DataFrame, order: tuple[str, ...], sku: str = "sku", by_range: bool = False) -> DataFrame:
+    """sku and sku_code, dense from 0 by first appearance. One row a sku meets in the numbering task; with ``by_range`` there is
+    no such task, and the skus are written to the shared folder first. ``order`` has no ties between skus."""
     first = df.groupBy(sku).agg(F.min(F.struct(*order)).alias("_f"))
+    if by_range:
+        return numbered_by_range(first, "_f").select(sku, F.col("_rn").cast("int").alias("sku_code"))
     return first.select(sku, (F.row_number().over(Window.orderBy("_f")) - 1).cast("int").alias("sku_code"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom import shared
+
 KEYS = ("sku", "store_id")
 
 
@@ -108,6 +110,18 @@ def numbered(rows: DataFrame, group: tuple[str, ...], chunk: list[Column], by: l
     return met.withColumn("_rn", F.col("_in") + F.col("_before")).select(*rows.columns, "_rn")
 
 
+def numbered_by_range(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with _rn, from 0 on in the order of a column without ties. They are dealt by ranges of it and written to the shared folder with
+    the numbers of their ranges, so that reruns see the same ranges and no task holds all rows."""
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, by).withColumn("_range", F.spark_partition_id())
+    path = shared.folder(spark, "ranges")
+    dealt.write.parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
+    return numbered(stored, (), [F.col("_range")], [F.col(by)]).drop("_range")
+
+
 def split_counts(windows: DataFrame, batch: int = 128, group: str = "bins") -> DataFrame:
     """Windows by group and split, and how many whole batches they make."""
     return windows.groupBy(group, "split").agg(F.count("*").alias("n"), F.floor(F.count("*") / batch).cast("long").alias("steps_per_epoch"))

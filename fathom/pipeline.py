@@ -85,7 +85,7 @@ class ForecastPipeline:
         found = clusters.k_search(scaled, columns, self.settings.seed)
         log.info("%d clusters of series, inertia %s", found.best_k, found.inertia)
         bins = clusters.assigned(scaled, columns, found.centres[found.best_k]) if found.best_k in found.centres and found.best_k > 1 else scaled.withColumn("bins", F.lit(0))
-        self.tables = {"clusters": bins.select(*KEYS, F.col("bins").cast("int").alias("bins")), "sku_index": series.sku_index(kept, ("period", *KEYS)), "cluster_search": clusters.statistics(self.spark, found)}
+        self.tables = {"clusters": bins.select(*KEYS, F.col("bins").cast("int").alias("bins")), "sku_index": series.sku_index(kept, ("period", *KEYS), by_range=True), "cluster_search": clusters.statistics(self.spark, found)}
         for c in self.encoded(kept):
             self.tables[f"vocabulary_{c}"] = scaling.vocabulary(kept, c, c not in self.onehot(kept))
         rows = series.with_clusters(kept, self.tables["clusters"], KEYS)

@@ -41,8 +41,16 @@ def kept(spark, sf) -> DataFrame:
     return series.quality_filter(weekly(spark, sf), WINDOW, N_OUT, 0.7)
 
 
+#: The order of the ledger's rows; it holds the part, so no two skus tie.
+FIRST = ("l_orderkey", "l_linenumber", "date", "l_partkey", "l_suppkey", "qty", "l_extendedprice")
+
+
 def codes(spark, sf) -> DataFrame:
-    return series.sku_index(ledger(spark, sf), ("l_orderkey", "l_linenumber", "date", "l_partkey", "l_suppkey", "qty", "l_extendedprice"))
+    return series.sku_index(ledger(spark, sf), FIRST)
+
+
+def sku_index(spark, sf):
+    return series.sku_index(ledger(spark, sf), FIRST, by_range=True)
 
 
 def coded(spark, sf) -> DataFrame:
@@ -506,7 +514,7 @@ def predict_effects(spark, sf):
 
 
 QUERIES = {
-    "scan_parquet": scan_parquet, "load_sales": load_sales, "null_categorical_filter": null_categorical_filter, "series_quality_filter": kept, "sku_index": codes, "sku_name_lookup": sku_name_lookup, "cluster_join": cluster_join,
+    "scan_parquet": scan_parquet, "load_sales": load_sales, "null_categorical_filter": null_categorical_filter, "series_quality_filter": kept, "sku_index": sku_index, "sku_name_lookup": sku_name_lookup, "cluster_join": cluster_join,
     "gapfill_weekly": gapfill_weekly, "cats_map": cats_map, "model_inputs": model_inputs, "predictor_frame": predictor_frame, "resample_daily": resample("1D"), "resample_weekly": weekly, "resample_monthly": resample("1M"),
     "resample_yearly": resample("1Y"), "resample_2w": resample("2W"), "resample_3m": resample("3M"), "resample_10d": resample("10D"), "distinct_counts": distinct_counts, "series_keys": series_keys, "metafeatures": metafeatures,
     "minmax_metafeatures": minmax_metafeatures, "scale_by_group": scale_by_group, "inverse_scale": inverse_scale, "outlier_clip": outlier_clip, "static_attributes": static_attributes, "encode_onehot": encode_onehot,

@@ -100,6 +100,16 @@ def test_outliers(spark, values, n, outside):
     assert max(abs(r["clipped"]) for r in rows) <= max(abs(v) for v in values) - (1 if outside else 0)
 
 
+def test_sku_index_by_range(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("s"), F.col("id") * 7919 % 1700).alias("sku"), F.col("id").alias("at"))
+    plain, ranged = (series.sku_index(rows, ("at",), by_range=b) for b in (False, True))
+    want = {r["sku"]: r["sku_code"] for r in plain.collect()}
+    assert len(want) == 1700 and {r["sku"]: r["sku_code"] for r in ranged.collect()} == want and ranged.dtypes == plain.dtypes
+    numbers = windows.numbered_by_range(rows, "at").select("at", "_rn").collect()
+    assert len(numbers) == 5000 and all(r["at"] == r["_rn"] for r in numbers)
+    assert series.sku_index(rows.limit(0), ("at",), by_range=True).count() == 0
+
+
 def test_sparse_encoding(spark):
     n = scaling.MAX_VOCABULARY + 1
     # one value holds a third of all rows; a null, an empty one and a clashing column beside
