@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from fathom.session import ship
 
@@ -24,6 +26,8 @@ MAX_ITER, TOL = 1000, 1e-6
 #: Rounds of oversampling, points of a round for each cluster of the largest candidate, starts tried on the sample, and those of them
 #: that are improved on all points.
 ROUNDS, OVERSAMPLING, STARTS, KEPT = 5, 4, 12, 4
+#: Points of a partition in Spark's KMeans, whose every iteration starts a task a partition, and fits that run side by side.
+POINTS, FITS = 100_000, 8
 
 
 def elbow(inertia: DataFrame) -> DataFrame:
@@ -188,24 +192,42 @@ def assigned(features: DataFrame, columns: list[str], centres: np.ndarray) -> Da
     return features.withColumn("bins", _nearest(columns, centres))
 
 
+def _vectors(features: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """``n`` points as vectors. Where a shuffle has left them in more partitions than there are cores they are dealt anew by their values, into
+    one partition a core or more where they are many, so that a fit starts the same from any number of partitions."""
+    wanted = max(features.sparkSession.sparkContext.defaultParallelism, -(-n // POINTS))
+    points = features.select(*columns)
+    if points.rdd.getNumPartitions() > wanted:
+        points = points.repartition(wanted, *columns).sortWithinPartitions(*columns)
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(points).select("features")
+
+
 def find_best_k(features: DataFrame, columns: list[str], seed: int = 42, most: int = 30) -> tuple[int, list[float]]:
-    """(k, inertia of each candidate) by a fit of Spark's KMeans for each candidate; ``k_search`` serves all of them with the same passes."""
-    n = features.count()
+    """(k, inertia of each candidate) by a fit of Spark's KMeans for each candidate, some of them at a time; ``k_search`` serves all of them with
+    the same passes. ``features`` are best persisted."""
+    spark, n = features.sparkSession, features.count()
     if n < 2:
         return 1, []
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(features).select("features").persist()
     candidates = list(range(2, min(most, n)))
-    costs = [KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL).fit(vectors).summary.trainingCost for k in candidates]
-    vectors.unpersist()
+    vectors = _vectors(features, columns, n).persist()
+
+    def cost(k: int) -> float:
+        return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL).fit(vectors).summary.trainingCost
+
+    try:
+        vectors.count()
+        with ThreadPool(FITS) as pool:  # a fit is many short jobs one after another
+            costs = pool.map(inheritable_thread_target(spark)(cost), candidates, chunksize=1)
+    finally:
+        vectors.unpersist()
     if len(candidates) < 3:
         return (candidates[0] if candidates else max(1, min(2, n - 1))), costs
-    spark = features.sparkSession
     return elbow(spark.createDataFrame(list(zip(candidates, costs)), "k int, inertia double")).first()[0], costs
 
 
 def assign(features: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(features)
-    return KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, predictionCol="bins").fit(vectors).transform(vectors).drop("features")
+    model = KMeans(k=k, seed=seed, maxIter=MAX_ITER, tol=TOL, predictionCol="bins").fit(_vectors(features, columns, features.count()))
+    return model.transform(VectorAssembler(inputCols=columns, outputCol="features").transform(features)).drop("features")
 
 
 def quality(points: DataFrame, columns: list[str], by: str = "bins") -> DataFrame:

@@ -64,3 +64,26 @@ def test_few_equal_and_no_points(spark):
     assert set(same.inertia.values()) == {0.0} and set(same.davies_bouldin.values()) == {None}
     three = spark.createDataFrame([(float(i // 3), 0.0) for i in range(9)], "a double, b double")
     assert clusters.assigned(three, ["a", "b"], clusters.k_search(three, ["a", "b"], candidates=[3]).centres[3]).select("bins").distinct().count() == 3
+
+
+def test_fits_do_not_depend_on_how_many_partitions_a_shuffle_left(spark, points, monkeypatch):
+    """Every iteration of a fit starts a task a partition: few points in many partitions are gathered first, for the search and the assignment."""
+    seen, plain = [], clusters.KMeans
+
+    class Seen(plain):
+        def fit(self, vectors):
+            seen.append(vectors.rdd.getNumPartitions())
+            return super().fit(vectors)
+
+    monkeypatch.setattr(clusters, "KMeans", Seen)
+    scattered = points.repartition(150).persist()
+    assert scattered.rdd.getNumPartitions() == 150
+    k, costs = clusters.find_best_k(scattered, COLUMNS, most=7)
+    assert clusters.assign(scattered, COLUMNS, k).count() == 720
+    assert len(seen) == 6 and max(seen) <= spark.sparkContext.defaultParallelism
+    gathered = clusters._vectors(scattered, COLUMNS, 720).persist()
+    alone = [plain(k=n, seed=42, maxIter=1000, tol=1e-6).fit(gathered).summary.trainingCost for n in range(2, 7)]
+    assert costs == pytest.approx(alone, rel=1e-9)  # side by side they are what they are one after another
+    again = points.repartition(90).persist()  # dealt by value, a fit starts from the same points whatever the shuffle before has left
+    assert clusters.find_best_k(again, COLUMNS, most=7)[1] == pytest.approx(costs, rel=1e-9)
+    scattered.unpersist(), again.unpersist()
