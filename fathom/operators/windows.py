@@ -122,6 +122,12 @@ def numbered_by_range(rows: DataFrame, by: str) -> DataFrame:
     return numbered(stored, (), [F.col("_range")], [F.col(by)]).drop("_range")
 
 
+def gathered(stored: DataFrame) -> DataFrame:
+    """A persisted frame in two partitions a core at most, for passes that start a task of Python for each. No row moves: a task goes through
+    several stored partitions, one after another."""
+    return stored.coalesce(2 * stored.sparkSession.sparkContext.defaultParallelism)
+
+
 def split_counts(windows: DataFrame, batch: int = 128, group: str = "bins") -> DataFrame:
     """Windows by group and split, and how many whole batches they make."""
     return windows.groupBy(group, "split").agg(F.count("*").alias("n"), F.floor(F.count("*") / batch).cast("long").alias("steps_per_epoch"))

@@ -457,7 +457,7 @@ def pipeline_run_metrics(spark, sf):
 
 def training_history(spark, sf):
     w = labelled(spark, sf).persist()
-    _, rows = forecasters.train_ridge(w, N_OUT, epochs=6)
+    _, rows = forecasters.train_ridge(windows.gathered(w), N_OUT, epochs=6)
     w.unpersist()
     return spark.createDataFrame(rows, "epoch int, penalty double, train_mse double, val_mse double, best boolean")
 
@@ -485,7 +485,7 @@ def scaled_windows(spark, sf):
 def training_loop(spark, sf):
     """Five epochs of AdamW over mini-batches of the windows, with the loss of each."""
     w = scaled_windows(spark, sf).persist()
-    done = training.Training(w, shared.folder(spark, "training"), training.Run(epochs=5, steps=8), (training.Trial(learning_rate=0.02),)).train()
+    done = training.Training(windows.gathered(w), shared.folder(spark, "training"), training.Run(epochs=5, steps=8), (training.Trial(learning_rate=0.02),)).train()
     w.unpersist()
     return done.history()
 
@@ -494,7 +494,7 @@ def tuned_trials(spark, sf):
     """Six trials of rate and decay by successive halving: state, epochs, best value and rank of each."""
     w = scaled_windows(spark, sf).persist()
     run = training.Run(epochs=4, steps=8, pruning=training.Pruning(rung=1, eta=2))
-    done = training.Training(w, shared.folder(spark, "study"), run, training.sampled(6, (1e-3, 1e-1))).train()
+    done = training.Training(windows.gathered(w), shared.folder(spark, "study"), run, training.sampled(6, (1e-3, 1e-1))).train()
     w.unpersist()
     return done.results()
 

@@ -111,6 +111,28 @@ def test_stopped_and_resumed(spark, windows, tmp_path):
         Training(windows, f"{tmp_path}/twice", RUN, sampled(2))
 
 
+def test_passes_over_few_partitions(spark, windows, monkeypatch):
+    """The query's epochs go over two partitions a core at most, whatever the shuffle before has left, and a step's sums are added up in few groups."""
+    from fathom.operators.windows import gathered
+    from fathom.plans import queries
+
+    seen = []
+
+    class Seen(Training):
+        def train(self, *a):
+            seen.append(self.windows.rdd.getNumPartitions())
+            return super().train(*a)
+
+    most = 2 * spark.sparkContext.defaultParallelism
+    scattered = windows.repartition(90)
+    monkeypatch.setattr(queries.training, "Training", Seen)
+    monkeypatch.setattr(queries, "scaled_windows", lambda *_: scattered)
+    assert queries.training_loop(spark, "").count() == 5 and seen == [most]
+    stored = scattered.persist()
+    assert sorted(map(str, gathered(stored).collect())) == sorted(map(str, windows.collect()))
+    stored.unpersist()
+
+
 def test_one_pass_an_epoch(spark, windows, tmp_path):
     """However many trials: each window goes into the sums once for training, and once in all for validation."""
     seen = spark.sparkContext.accumulator(0)
