@@ -15,15 +15,19 @@ KEYS = ("sku", "store_id")
 def resample(df: DataFrame, period: str = "1W", keys=KEYS, date: str = "date", quantity: str = "qty", last: tuple[str, ...] = (), order: tuple[str, ...] | None = None) -> DataFrame:
     """One row a series and bucket: the sum of the quantity and the last non-null value of the columns ``last``.
 
-    One shuffle on the keys and the label; periods of several units need each series' first date besides.
+    One shuffle on the keys and the label; periods of several units need each series' first date besides. With ``last`` Spark sorts the rows
+    by series and bucket, as it keeps no strings and structs in a hash aggregate: by a hash first, as most rows then compare as one number.
     """
     p = Period.parse(period)
     if p.anchored:
         df = df.withColumn("_first", F.min(date).over(Window.partitionBy(*keys)))
-    by = F.struct(*(order or (date,)))
+    by = F.struct(*([c for c in dict.fromkeys(order or (date,)) if c not in keys] or [F.lit(0)]))  # the keys are the same in all rows of a series
     kept = [F.max_by(c, F.when(F.col(c).isNotNull(), by)).alias(c) for c in last]
     label = p.label(F.col(date), F.col("_first") if p.anchored else None)
-    return df.groupBy(*keys, label.alias("period")).agg(F.sum(quantity).alias(quantity), *kept)
+    if not last:
+        return df.groupBy(*keys, label.alias("period")).agg(F.sum(quantity).alias(quantity))
+    put = df.withColumn("period", label)
+    return put.groupBy(F.xxhash64(*keys, "period").alias("_hash"), *keys, "period").agg(F.sum(quantity).alias(quantity), *kept).drop("_hash")
 
 
 def fill_gaps(series: DataFrame, period: str = "1W", keys=KEYS, quantity: str = "qty") -> DataFrame:

@@ -100,6 +100,21 @@ def test_outliers(spark, values, n, outside):
     assert max(abs(r["clipped"]) for r in rows) <= max(abs(v) for v in values) - (1 if outside else 0)
 
 
+def test_last_values_sort_by_one_number(spark):
+    """Rows are sorted by a hash of series and bucket before the strings of the keys, and rows are told apart by what isn't a key."""
+    rows = [("2022-01-03", "a", "x", 1.0, "red", 1), ("2022-01-03", "a", "x", 2.0, "blue", 2), ("2022-01-04", "a", "x", 4.0, None, 1), ("2022-01-05", "b", "x", 8.0, None, 1)]
+    df = spark.createDataFrame(rows, "date string, sku string, store_id string, qty double, color string, line int").withColumn("date", F.col("date").cast("date"))
+    out = series.resample(df, "1W", last=("color",), order=("date", "sku", "store_id", "date", "line"))
+    assert out.columns == ["sku", "store_id", "period", "qty", "color"]
+    assert sorted(tuple(r)[:2] + tuple(r)[3:] for r in out.collect()) == [("a", "x", 7.0, "blue"), ("b", "x", 8.0, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if " Sort [" in line]
+    assert sorts and all("Sort [_groupingexpression" in line for line in sorts)
+    assert "Sort [" not in series.resample(df, "1W")._jdf.queryExecution().executedPlan().toString()
+    only_keys = series.resample(df, "1W", last=("line",), order=("sku",))
+    assert only_keys.count() == 2
+
+
 def test_sku_index_by_range(spark):
     rows = spark.range(5000).select(F.concat(F.lit("s"), F.col("id") * 7919 % 1700).alias("sku"), F.col("id").alias("at"))
     plain, ranged = (series.sku_index(rows, ("at",), by_range=b) for b in (False, True))
