@@ -28,6 +28,8 @@ MAX_ITER, TOL = 1000, 1e-6
 ROUNDS, OVERSAMPLING, STARTS, KEPT = 5, 4, 12, 4
 #: Points of a partition in Spark's KMeans, whose every iteration starts a task a partition, and fits that run side by side.
 POINTS, FITS = 100_000, 8
+#: Points of a partition in the search, whose passes look at the centres of all candidates.
+CHUNK = 4096
 
 
 def elbow(inertia: DataFrame) -> DataFrame:
@@ -148,9 +150,10 @@ def davies_bouldin(centres: np.ndarray, n: np.ndarray, far: np.ndarray) -> float
 def k_search(features: DataFrame, columns: list[str], seed: int = 42, most: int = 30, candidates: list[int] | None = None) -> Search:
     """Candidates 2 to min(most, n) - 1, all improved by the same passes until each one's centres move by less than ``TOL``."""
     ship(features.sparkSession)
-    points = features.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    scattered = points = features.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
     try:
         n = points.count()
+        points = scattered.coalesce(-(-n // CHUNK) or 1).persist()  # every pass starts a task a partition
         if n < 2:
             return Search(1)
         ks = list(range(2, min(most, n))) if candidates is None else candidates
@@ -179,6 +182,7 @@ def k_search(features: DataFrame, columns: list[str], seed: int = 42, most: int
         return out
     finally:
         points.unpersist()
+        scattered.unpersist()
 
 
 def statistics(spark, found: Search) -> DataFrame:

@@ -112,7 +112,7 @@ class ForecastPipeline:
     @metered
     def create_datasets(self) -> ForecastPipeline:
         self._need(self.series, "load_and_preprocess")
-        self.windows = self._windows(self.series).persist()
+        self.windows = windows.gathered(self._windows(self.series).persist())
         return self
 
     def _windows(self, rows: DataFrame) -> DataFrame:

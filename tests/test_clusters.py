@@ -87,3 +87,13 @@ def test_fits_do_not_depend_on_how_many_partitions_a_shuffle_left(spark, points,
     again = points.repartition(90).persist()  # dealt by value, a fit starts from the same points whatever the shuffle before has left
     assert clusters.find_best_k(again, COLUMNS, most=7)[1] == pytest.approx(costs, rel=1e-9)
     scattered.unpersist(), again.unpersist()
+
+
+def test_passes_start_no_task_for_empty_partitions(points, monkeypatch):
+    """720 points are one partition in every pass of the search, whatever the shuffle before has left."""
+    seen, plain = [], clusters._pass
+    monkeypatch.setattr(clusters, "_pass", lambda p, *a: seen.append(p.rdd.getNumPartitions()) or plain(p, *a))
+    scattered = points.repartition(150).persist()
+    assert clusters.k_search(scattered, COLUMNS, most=5).inertia == pytest.approx(clusters.k_search(points, COLUMNS, most=5).inertia)
+    assert len(seen) > 4 and set(seen) == {1}
+    scattered.unpersist()
